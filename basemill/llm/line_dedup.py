@@ -67,7 +67,7 @@ def dedup_lines(docs: DataFrame, least: int = 40, most_docs: int = 5) -> DataFra
         .groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
     )
     drops = materialize(drops, "line-drops")
-    texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint")).join(drops, "id", "left")
+    texts = docs.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)).cast("bigint")).join(drops.hint("merge"), "id", "left")
     kept = T.StructType([*[f for f in docs.schema if f.name not in ("n_lines", "n_dropped")], T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     names = kept.names
 
