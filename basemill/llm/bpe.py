@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import slices, utf8
 
 #: Pieces remembered with their ids, at most; beyond that all are forgotten.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Rows of a batch.
 ROWS = 384
 #: White space as Unicode has it; the pattern's \s is read so.
@@ -54,6 +54,19 @@ FROM rows LEFT JOIN vocabulary USING (id) GROUP BY t
 """
 
 
+def _at_blanks(text: str) -> list[str]:
+    found = text.split(" ")
+    if "" not in found and not any(x[0] in UNICODE_SPACE for x in found):
+        return [found[0], *[" " + x for x in found[1:]]]
+    made = [found[0]]
+    for x in found[1:]:
+        if x and x[0] not in UNICODE_SPACE:
+            made.append(" " + x)
+        else:
+            made[-1] += " " + x
+    return made if made[0] else made[1:]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary in one process."""
 
@@ -103,21 +116,24 @@ class Codec:
         return found
 
     def pieces(self, text: str) -> list[str]:
-        """Cuts before each blank that a character other than white space follows; the pattern never matches across.
+        """Cuts where no match of the pattern reaches across, so that most pieces are single words.
 
-        Such a blank is always the first of a match, and what comes before it matches the same without it: a run of
-        white space gives up its last character to it in any case.
+        A blank before a character that isn't white space is the first of a match, and a line break before such a
+        character is a match of its own: what comes before either, a run of white space too, matches the same without it.
         """
-        found = text.split(" ")
-        if "" not in found and not any(x[0] in UNICODE_SPACE for x in found):
-            return [found[0], *[" " + x for x in found[1:]]]
-        made: list[str] = [found[0]]
-        for x in found[1:]:
-            if x and x[0] not in UNICODE_SPACE:
-                made.append(" " + x)
+        if "\n" not in text:
+            return _at_blanks(text)
+        lines = text.split("\n")
+        made: list[str] = []
+        held = lines[0]
+        for line in lines[1:]:
+            if line and line[0] not in UNICODE_SPACE:
+                made += _at_blanks(held)
+                made.append("\n")
+                held = line
             else:
-                made[-1] += " " + x
-        return made if made[0] else made[1:]
+                held += "\n" + line
+        return made + _at_blanks(held)
 
     def encode(self, texts: list[str]) -> list[list[str]]:
         """For each text the runs of decimal ids of its pieces."""
