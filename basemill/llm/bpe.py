@@ -156,13 +156,12 @@ class Codec:
         shown = self.shown
         new = list({r for rs in runs for r in rs if r not in shown})
         if new:
-            shown.update(zip(new, self.decode(pa.array(new, pa.string())), strict=True))
+            shown.update(zip(new, self.decode(id_lists(pa.array(new, pa.string()))), strict=True))
         return [b"".join([shown[r] for r in rs]) for rs in runs]
 
     def decode(self, ids: pa.Array) -> list[bytes]:
-        """The bytes that strings of decimal ids stand for."""
-        lists = pc.if_else(pc.equal(ids, ""), pa.scalar([], pa.list_(pa.string())), pc.split_pattern(ids, " ")).cast(pa.list_(pa.int32()))
-        self.db.register("incoming", pa.table({"t": pa.array(range(len(ids)), pa.int32()), "ids": lists}))
+        """The bytes that lists of ids stand for."""
+        self.db.register("incoming", pa.table({"t": pa.array(range(len(ids)), pa.int32()), "ids": ids}))
         found = self.db.sql(EXPAND).to_arrow_table()
         self.db.unregister("incoming")
         if not pc.all(found.column("known")).as_py() and len(found):
@@ -183,21 +182,35 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+def id_lists(ids: pa.Array) -> pa.Array:
+    """Strings of decimal ids as lists."""
+    return pc.if_else(pc.equal(ids, ""), pa.scalar([], pa.list_(pa.string())), pc.split_pattern(ids, " ")).cast(pa.list_(pa.int32()))
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids (decimal, joined by a blank) of every whole text. No shuffle: each partition by itself."""
+    """The columns of ``docs`` but text, and n_tokens and ids (array<int>) of every whole text, which must decode to it.
+
+    No shuffle: each partition by itself.
+    """
+    keep = [c for c in docs.columns if c not in ("text", "n_tokens", "ids")]
+    kinds = dict(docs.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path, pattern)
         for part in slices(batches, ROWS):
-            ids = [" ".join(runs) for runs in made.encode([x or "" for x in part.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([n_ids(x) for x in ids], pa.int64()), pa.array(ids, pa.string())], ["doc_id", "n_tokens", "ids"])
+            texts = [x or "" for x in part.column("text").to_pylist()]
+            runs = made.encode(texts)
+            if any(x != text.encode() for x, text in zip(made.decode_runs(runs), texts, strict=True)):
+                raise ValueError("ids don't decode to their text")
+            ids = id_lists(pa.array([" ".join(x) for x in runs], pa.string()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pc.list_value_length(ids).cast(pa.int64()), ids], [*keep, "n_tokens", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids string")
+    return docs.select(*keep, "text").mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_tokens long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encoded`` (with ids) and ``decoded``, the bytes."""
-    schema = ", ".join(f"{n} {t}" for n, t in encoded.dtypes) + ", decoded binary"
+    """``encoded`` (with ids, array<int>) and ``decoded``, the bytes."""
+    schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path, pattern)

@@ -64,17 +64,39 @@ def _with_source(rows: DataFrame, table: DataFrame, n_sources: int) -> DataFrame
     return rows.withColumn("salt", F.pmod(F.col("h"), F.lit(SALTS)).cast("int")).join(salted, ["key", "salt"]).drop("salt")
 
 
+def source_key() -> Column:
+    """The source as a key that is never null."""
+    return F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """Ids, sources, sizes and hashes, written once: the passes after that read only these few numbers."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
+    return materialize(docs.select("doc_id", "source", source_key().alias("key"), size.alias("size"), order_hash(F.col("doc_id")).alias("h")), "mixing-sizes")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """``docs``: doc_id, source, text. Returns doc_id, source, size, source_size, target,
-    times_taken (copies of the document in the mix) and taken (words).
-
-    The table of ids, sizes and hashes is written once; each of the passes after that reads only its few numbers.
-    """
-    key = F.struct(F.col("source").isNull().alias("missing"), F.coalesce("source", F.lit("")).alias("name"))
-    slim = materialize(
-        docs.select("doc_id", "source", key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), order_hash(F.col("doc_id")).alias("h")),
-        "mixing-sizes",
-    )
+    times_taken (copies of the document in the mix) and taken (words)."""
+    slim = sized(docs)
+    plan, n_sources = mixing_plan(slim, weights, share, most)
+    times = F.col("copies") + (F.col("h") < F.col("threshold")).cast("bigint")
+    return _with_source(slim, plan, n_sources).select("doc_id", "source", "size", "source_size", "target", times.alias("times_taken"), (F.col("size") * times).alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
+    """The rows of the mix: each row of ``docs`` as many times as it is taken, with its own columns. Texts aren't shuffled
+    unless there are more than BROADCAST_SOURCES sources."""
+    plan, n_sources = mixing_plan(sized(docs), weights, share, most)
+    own = docs.select(F.struct(*docs.columns).alias("row"), source_key().alias("key"), order_hash(F.col("doc_id")).alias("h"))
+    times = F.col("copies") + (F.col("h") < F.col("threshold")).cast("bigint")
+    taken = _with_source(own, plan.select("key", "copies", "threshold"), n_sources).withColumn("times", times).where("times > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("row.*")
+
+
+def mixing_plan(slim: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int) -> tuple[DataFrame, int]:
+    """Of each source (key): source_size, target, copies, and the threshold below which a hash is taken once more."""
+    key = source_key()
     shift = HASH_BITS - LEVEL_BITS
     histogram = materialize(_histogram(slim, shift), "mixing-histogram")
     sizes = histogram.groupBy("key").agg(F.sum("words").alias("source_size")).select(F.when(~F.col("key.missing"), F.col("key.name")).alias("source"), "source_size")
@@ -97,12 +119,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
         histogram = materialize(_histogram(boundary, shift), "mixing-histogram")
 
     thresholds = settled[0].unionByName(settled[1]).unionByName(settled[2])
-    plan = materialize(targets.drop("source").join(thresholds, "key"), "mixing-plan")
-    return _with_source(slim, plan, n_sources).select(
-        "doc_id", "source", "size", "source_size", "target",
-        (F.col("copies") + (F.col("h") < F.col("threshold")).cast("bigint")).alias("times_taken"),
-        (F.col("size") * (F.col("copies") + (F.col("h") < F.col("threshold")).cast("bigint"))).alias("taken"),
-    )
+    return materialize(targets.drop("source").join(thresholds, "key"), "mixing-plan"), n_sources
 
 
 def _histogram(slim: DataFrame, shift: int) -> DataFrame:
