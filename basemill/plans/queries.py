@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from ..operators import pairs as P
 from ..operators import rules as R
 from ..operators import trimming as T
 from ..operators import validation as V
+from ..sources import fastq
 from . import derived
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,3 +358,14 @@ SELECT * FROM se WHERE fault IS NOT NULL""")(V.sheet_faults)
 sheet_query("case_roles", MORE + """
 cr AS (SELECT patient_id, bool_or(sample_role = 'tumor') AS tumor, bool_or(sample_role = 'normal') AS normal, bool_or(sample_role = 'tumor_rna') AS tumor_rna, arg_max(reference, line) FILTER (sample_role = 'tumor') AS a, arg_max(reference, line) FILTER (sample_role = 'normal') AS b FROM sheet GROUP BY patient_id)
 SELECT patient_id, tumor, normal, tumor_rna, NOT (tumor AND normal AND a <> b) AS same_reference, CASE WHEN (tumor AND NOT normal) OR (tumor AND normal AND a <> b) THEN 'error' WHEN NOT tumor_rna THEN 'warning' ELSE 'ok' END AS status FROM cr""".replace("NOT (tumor AND normal AND a <> b) AS same_reference", "coalesce(NOT (tumor AND normal AND a <> b), true) AS same_reference"))(V.case_roles)
+
+
+def _fastq_round_trip(d: DataFrame) -> DataFrame:
+    """Reads written as gzip FASTQ and scanned again, through a folder that all executors share if one is set."""
+    shared = d.sparkSession.conf.get("spark.checkpoint.dir", None)
+    folder = tempfile.mkdtemp(prefix="fastq-", dir=shared.removeprefix("file://") if shared and shared.startswith(("/", "file:///")) else None)
+    fastq.write_fastq(d.where(F.length("sequence") > 0), f"{folder}/reads", 4)
+    return fastq.read_fastq(d.sparkSession, f"{folder}/reads").select("header", "sequence", "separator", "quality")
+
+
+reads_query("fastq_roundtrip", WITH + "SELECT header, sequence, separator, quality FROM reads WHERE length(sequence) > 0")(_fastq_round_trip)
