@@ -35,14 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Paths of the tables written by ``materialize`` and not yet released.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables written so far. Only for callers that know that no DataFrame built on them is read any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def near(small: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A written table, marked for a broadcast if it has at most ``most_rows`` rows of a few numbers, else for a merge join."""
+    return F.broadcast(small) if small.count() <= most_rows else small.hint("merge")
+
+
 def held_out(doc_id: Column | str = "doc_id") -> Column:
     """True for the rows that no classifier of this package learns from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -6,9 +6,9 @@ document's component: the smallest id that it reaches by links.
 
 1. Equal sets are one point; from here on a point stands for all its copies.
 2. Coarse regions. Under any total order of shingles, two linked sets share one of the first |x| - ceil(0.75 |x|) + 1
-   shingles of each. Points that share such a shingle are joined; a connected group of them is a coarse region, and no
-   link leaves it. The order puts frequent shingles last, by a sketch of counts over all documents; the sketch only
-   decides how large regions get, never which links are found.
+   shingles of each. Points that share enough of these (see ``coarse_links``) are joined; a connected group of them is a
+   coarse region, and no link leaves it. The order puts frequent shingles last, by a sketch of counts over all documents;
+   the sketch only decides how large regions get, never which links are found.
 3. Regions of up to ``LIMIT`` points are joined whole in one task.
 4. Larger ones are split by pivots. Each point belongs to its nearest pivot. Points within 0.25 of a pivot are linked to
    it, and so with each other: a cell whose points all hang together needs no join with itself. A point visits the cell
@@ -32,18 +32,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8
+from .common import materialize, near, slices, utf8
 from .components import components
 
 WORDS = 5
 #: Points, and shingles in all, that are joined in one task.
-LIMIT, LIMIT_SHINGLES = 256, 1_500_000
+LIMIT, LIMIT_SHINGLES = 512, 2_000_000
 PIVOTS = 16
 #: Farther than this from all pivots, a point is in the cell of the far ones (number PIVOTS).
 FAR = 0.75
 DEPTH = 4
 #: Pivots of so many bytes are broadcast at a time; more are dealt with in turns.
 PIVOT_BYTES = 48_000_000
+#: Points at one shingle that are paired; more are tied to one of them.
+CROWD = 64
 #: Counters of the sketch, and counters that travel as one row.
 SKETCH, BLOCK = 1 << 22, 1 << 13
 NO_ID = -(2**63)
@@ -145,18 +147,20 @@ def ranks(counts: np.ndarray) -> np.ndarray:
 
 
 def coarse_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(a, b): points that share a shingle of their prefixes, as stars around the smallest point of each shingle.
+    """(a, b): pairs of points that hold all links together, and more.
 
-    Rows (shingle, point) are first thinned out in each batch: points that share a shingle there are tied to the
-    smallest of them by a made-up shingle of their own, and only that one is sent on, so a frequent shingle is one row a
-    batch.
+    Every point is sent to the shingles of its prefix. Points that meet at a shingle with up to ``CROWD`` of them are
+    paired, and a pair is kept if it meets often enough: of its common shingles all up to the end of the shorter prefix
+    are meetings, so a pair that could reach the similarity by what lies beyond it is kept, and no other. Where more
+    points meet they are tied to the smallest one, in bands of sizes, as linked sets differ in size by a quarter at most;
+    a shingle that is crowded in one batch already is sent on as one marked row.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order, known = shared.value, set()
         for part in slices(batches, 1024):
-            hs, fps = [], []
+            hs, fps, ns = [], [], []
             for text in utf8(part.column("text")):
                 points = shingles(text)
                 fp = set_key(points)[0]
@@ -166,28 +170,49 @@ def coarse_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
                 first = np.lexsort((points, order[(points % np.uint64(SKETCH)).astype(np.int64)]))[: prefix_length(len(points))]
                 hs.append(points[first])
                 fps.append(np.full(len(first), fp, np.int64))
+                ns.append(np.full(len(first), len(points), np.int64))
             if len(known) > 1_000_000:
                 known.clear()
             if not hs:
                 continue
-            h, fp = np.concatenate(hs), np.concatenate(fps)
+            h, fp, n = np.concatenate(hs), np.concatenate(fps), np.concatenate(ns)
             by = np.lexsort((fp, h))
-            h, fp = h[by], fp[by]
-            leads = np.append(True, h[1:] != h[:-1])
-            leader = fp[np.maximum.accumulate(np.where(leads, np.arange(len(h)), 0))]
-            ties = np.unique(np.stack([leader[~leads], fp[~leads]], axis=1), axis=0)
-            ties = ties[ties[:, 0] != ties[:, 1]]
-            made = mix(ties[:, 0].astype(np.uint64) * _ODD[0] + mix(ties[:, 1].astype(np.uint64)))
-            hs_out = np.concatenate([h[leads], made, made]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hs_out), pa.array(np.concatenate([fp[leads], ties[:, 0], ties[:, 1]]))], ["h", "fp"])
-
-    cells = docs.select("text").mapInArrow(run, "h long, fp long")
-    least = F.min("fp").over(Window.partitionBy("h"))
-    return cells.withColumn("b", least).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+            h, fp, n = h[by], fp[by], n[by]
+            start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            size = np.diff(np.append(start, len(h)))
+            crowded = np.repeat(size > CROWD, size)
+            lead = np.repeat(start, size)
+            alone = ~crowded | (lead == np.arange(len(h)))
+            # ties are cells of two points of their own, one for each pair and band that occurs
+            tied = np.unique(np.stack([fp[lead][~alone], n[lead][~alone], fp[~alone], n[~alone]], axis=1), axis=0)
+            made = mix(tied[:, 0].astype(np.uint64) * _ODD[0] + mix(tied[:, 2].astype(np.uint64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate([h[alone], made, made]).astype(np.int64)), pa.array(np.concatenate([fp[alone], tied[:, 0], tied[:, 2]])), pa.array(np.concatenate([n[alone] * 2 + crowded[alone], tied[:, 1] * 2 + 1, tied[:, 3] * 2 + 1]))],
+                ["h", "fp", "m"],
+            )
+
+    cells = docs.select("text").mapInArrow(run, "h long, fp long, m long")
+    by_h = Window.partitionBy("h")
+    met = cells.withColumn("rows", F.count("*").over(by_h)).where("rows > 1").withColumn("crowd", (F.col("rows") > CROWD) | (F.max(F.col("m") % 2).over(by_h) == 1))
+    met = materialize(met.select("h", "fp", F.shiftright("m", 1).alias("n"), "crowd"), "jaccard-cells")
+
+    few = met.where("not crowd").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("fp", "n"))).alias("x")).where(F.size("x") > 1)
+    pairs = few.select("x", F.posexplode("x").alias("i", "p")).select("p", F.explode(F.slice("x", F.col("i") + 2, F.lit(CROWD))).alias("q"))
+    pairs = pairs.select(F.col("p.fp").alias("a"), F.col("p.n").alias("na"), F.col("q.fp").alias("b"), F.col("q.n").alias("nb"))
+    least, most = F.least("na", "nb"), F.greatest("na", "nb")
+    needed = F.ceil((F.col("na") + F.col("nb")) * 3 / 7 - F.lit(1e-6)) - (F.floor((3 * most + 3) / 4) - 1)
+    kept = pairs.where(4 * least >= 3 * most).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("times")).where(F.col("times") >= needed).select("a", "b")
+
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(4 / 3)) * 1.001)).cast("int")
+    many = met.where("crowd").select("h", "fp", F.explode(F.array(band, band + 1)).alias("band"))
+    tied = many.withColumn("b", F.min("fp").over(Window.partitionBy("h", "band"))).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    return kept.unionByName(tied)
 
 
 def regions_with_sets(docs: DataFrame, names: DataFrame, regions: DataFrame) -> DataFrame:
-    """(region, fp, points): the sets of the points of coarse regions, read again from one document each."""
+    """(region, fp, points): the sets of the points of coarse regions, read again from one document each.
+
+    These points are a part of all; if they are few, the texts are filtered where they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -197,7 +222,7 @@ def regions_with_sets(docs: DataFrame, names: DataFrame, regions: DataFrame) ->
 
     wanted = materialize(names.join(regions.withColumnRenamed("node", "fp").withColumnRenamed("component", "region"), "fp").select("id", "fp", "region"), "jaccard-wanted")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text")
-    return texts.join(wanted.hint("merge"), "id").select("region", "fp", "text").mapInArrow(run, "region long, fp long, points binary")
+    return texts.join(near(wanted), "id").select("region", "fp", "text").mapInArrow(run, "region long, fp long, points binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -274,7 +299,7 @@ def region_sizes(rows: DataFrame) -> DataFrame:
 def blocks_joined(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """All points of each region in blocks, every pair of blocks in a task."""
     n = F.greatest(F.ceil(F.col("members") * 2 / LIMIT), F.ceil(F.col("total") * 2 / LIMIT_SHINGLES), F.lit(1)).cast("int")
-    own = rows.join(sizes.select("region", n.alias("blocks")).hint("merge"), "region").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    own = rows.join(near(materialize(sizes.select("region", n.alias("blocks")), "jaccard-blocks")), "region").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return join_groups(met.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "fp", "points"))
 
@@ -307,7 +332,7 @@ def _split(spark, rows: DataFrame, pivots: DataFrame, depth: int) -> tuple[DataF
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Adds the distances to the region's pivots, the cell, and the first pivot that the point is linked to."""
         sets = {r: [(p, fp, np.frombuffer(x, np.uint64)) for p, fp, x in ps] for r, ps in shared.value.items()}
-        names = ["region", "fp", "points", "home", "near", "apart", "balls"]
+        names = ["region", "fp", "home", "near", "apart", "balls"]
         for part in slices(batches):
             home, near, apart, balls = [], [], [], []
             for region, data in zip(part.column("region").to_pylist(), part.column("points").to_pylist(), strict=True):
@@ -320,9 +345,9 @@ def _split(spark, rows: DataFrame, pivots: DataFrame, depth: int) -> tuple[DataF
                     ball |= bool(linked(inter, len(x), len(y))) << p
                 best = int(np.argmin(d))
                 home.append(best if d[best] <= FAR else PIVOTS), near.append(min(d)), apart.append(d), balls.append(ball)
-            yield pa.RecordBatch.from_arrays([part.column("region"), part.column("fp"), part.column("points"), pa.array(home, pa.int32()), pa.array(near, pa.float64()), pa.array(apart, pa.list_(pa.float64())), pa.array(balls, pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([part.column("region"), part.column("fp"), pa.array(home, pa.int32()), pa.array(near, pa.float64()), pa.array(apart, pa.list_(pa.float64())), pa.array(balls, pa.int32())], names)
 
-    measured = materialize(rows.mapInArrow(measure, "region long, fp long, points binary, home int, near double, apart array<double>, balls int"), "jaccard-measured")
+    measured = materialize(rows.mapInArrow(measure, "region long, fp long, home int, near double, apart array<double>, balls int"), "jaccard-measured")
     pivot = pivots.select("region", "p", F.col("fp").alias("pivot"))
     in_ball = F.filter(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda p: F.col("balls").bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(PIVOTS)]), p + 1)) != 0)
     tied = measured.where("balls <> 0").select("region", "fp", F.explode(in_ball).alias("p"))
@@ -359,15 +384,16 @@ def _split(spark, rows: DataFrame, pivots: DataFrame, depth: int) -> tuple[DataF
                 for p, radius, whole in table.value[region]:
                     if p == home or p < home and apart[p] <= radius + 0.25 + EPS and not (own is not None and own == whole):
                         at.append(i), cell.append(p), visits.append(p != home)
-            took = part.select(["region", "fp", "points"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell, pa.int32()), pa.array(visits, pa.bool_())], ["region", "fp", "points", "cell", "visits"])
+            took = part.select(["region", "fp"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell, pa.int32()), pa.array(visits, pa.bool_())], ["region", "fp", "cell", "visits"])
 
-    dealt = materialize(points.select("region", "fp", "points", "home", "apart", "label").mapInArrow(deal, "region long, fp long, points binary, cell int, visits boolean"), "jaccard-dealt")
+    dealt = materialize(points.select("region", "fp", "home", "apart", "label").mapInArrow(deal, "region long, fp long, cell int, visits boolean"), "jaccard-dealt")
     # a cell that hangs together needs a task only if it has visitors
     visited = dealt.groupBy("region", "cell").agg(F.max("visits").alias("visited"), F.count("*").alias("n"))
     wholes = spark.createDataFrame([(c["region"], c["home"], c["whole"] is not None) for c in cells] or [(0, 0, True)], "region long, cell int, whole boolean")
     open_cells = visited.join(F.broadcast(wholes), ["region", "cell"]).where("(visited or not whole) and n > 1").select("region", "cell")
-    new = dealt.join(materialize(open_cells, "jaccard-cells"), ["region", "cell"]).select(F.xxhash64("region", "cell", F.lit(depth)).alias("region"), "fp", "points")
+    moves = materialize(dealt.join(near(materialize(open_cells, "jaccard-open")), ["region", "cell"]).select("region", "fp", "cell"), "jaccard-moves")
+    new = rows.join(near(moves), ["region", "fp"]).select(F.xxhash64("region", "cell", F.lit(depth)).alias("region"), "fp", "points")
     return materialize(links, "jaccard-links"), materialize(new, "jaccard-regions")
 
 
@@ -377,12 +403,13 @@ def region_links(rows: DataFrame) -> DataFrame:
     for depth in range(DEPTH + 1):
         sizes = materialize(region_sizes(rows), "jaccard-sizes")
         fits = (F.col("members") <= LIMIT) & (F.col("total") <= LIMIT_SHINGLES)
-        small = rows.join(sizes.where(fits & (F.col("members") > 1)).select("region").hint("merge"), "region")
-        found.append(materialize(join_groups(small.withColumnRenamed("region", "group")), "jaccard-links"))
         most = sizes.where(~fits).agg(F.max("members").alias("m"), F.sum("members").alias("s")).first()
+        flagged = rows.join(near(sizes.select("region", "members", "total")), "region")
+        small = flagged.where(fits & (F.col("members") > 1))
+        found.append(materialize(join_groups(small.withColumnRenamed("region", "group")), "jaccard-links"))
         if most["m"] is None:
             break
-        large = materialize(rows.join(sizes.where(~fits).select("region").hint("merge"), "region"), "jaccard-large")
+        large = materialize(flagged.where(~fits).select("region", "fp", "points"), "jaccard-large")
         if depth == DEPTH or before is not None and most["s"] > 0.8 * before:
             found.append(materialize(blocks_joined(large, sizes.where(~fits)), "jaccard-links"))
             break
