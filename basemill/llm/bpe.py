@@ -159,6 +159,12 @@ class Codec:
             shown.update(zip(new, self.decode(id_lists(pa.array(new, pa.string()))), strict=True))
         return [b"".join([shown[r] for r in rs]) for rs in runs]
 
+    def forget(self) -> None:
+        """Gives back the memory of what is remembered."""
+        self.known.clear()
+        self.words.clear()
+        self.shown.clear()
+
     def decode(self, ids: pa.Array) -> list[bytes]:
         """The bytes that lists of ids stand for."""
         self.db.register("incoming", pa.table({"t": pa.array(range(len(ids)), pa.int32()), "ids": ids}))
@@ -204,6 +210,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 raise ValueError("ids don't decode to their text")
             ids = id_lists(pa.array([" ".join(x) for x in runs], pa.string()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pc.list_value_length(ids).cast(pa.int64()), ids], [*keep, "n_tokens", "ids"])
+        made.forget()  # workers are used again by other operators
 
     return docs.select(*keep, "text").mapInArrow(run, "".join(f"`{c}` {kinds[c]}, " for c in keep) + "n_tokens long, ids array<int>")
 

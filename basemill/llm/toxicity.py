@@ -72,7 +72,7 @@ class Model:
 NEVER = Model({}, -1e9)
 
 
-def choose_vocabulary(positive: list[set[bytes]], unlabelled: list[set[bytes]], param: Param) -> list[bytes]:
+def choose_vocabulary(positive: list[tuple[bytes, ...]], unlabelled: list[tuple[bytes, ...]], param: Param) -> list[bytes]:
     """Features that confirmed examples have more often, by the significance of the difference."""
     p, u = Counter(), Counter()
     for x in positive:
@@ -112,11 +112,11 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, param: Param) -> tupl
     return w, b
 
 
-def _matrix(rows: list[set[bytes]], vocabulary: list[bytes]) -> np.ndarray:
+def _matrix(rows: list[tuple[bytes, ...]], vocabulary: list[bytes]) -> np.ndarray:
     number = {w: i for i, w in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
     for i, row in enumerate(rows):
-        x[i, [number[w] for w in row & number.keys()]] = 1
+        x[i, [number[w] for w in row if w in number]] = 1
     return x
 
 
@@ -130,8 +130,14 @@ def train(docs: DataFrame, labels: DataFrame, param: Param = Param()) -> Model:
         return NEVER
     prior = min(0.95, max(1e-4, counted["k"] / counted["n"]))
     confirmed = docs.join(labels.where(F.col("toxic") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
-    positive = [features(x) for x in _texts(draw(confirmed, param.positives, counted["k"], "toxic"))]
-    unlabelled = [features(x) for x in _texts(draw(docs, param.unlabelled, docs.count(), "unlabelled"))]
+    one: dict[bytes, bytes] = {}  # equal features are one object
+    positive = [tuple(one.setdefault(w, w) for w in features(x)) for x in _texts(draw(confirmed, param.positives, counted["k"], "toxic"))]
+    times = Counter()
+    for row in positive:
+        times.update(row)
+    wanted = {w for w, k in times.items() if k >= param.support}
+    positive = [tuple(w for w in row if w in wanted) for row in positive]
+    unlabelled = [tuple(one[w] for w in features(x) & wanted) for x in _texts(draw(docs, param.unlabelled, docs.count(), "unlabelled"))]
     if not positive or not unlabelled:
         return NEVER
     vocabulary = choose_vocabulary(positive, unlabelled, param)
