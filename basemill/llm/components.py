@@ -11,19 +11,22 @@ from .common import materialize
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``links`` (a, b: long) to (node, component): each node that has a link, and the smallest node it reaches.
 
-    Smallest labels spread along links and then along themselves (pointer jumping) until nothing changes, so the rounds
-    grow with the logarithm of the longest path. Labels are minima, which are aggregated before they are shuffled; both
-    sides of the joins are tables, so the adaptive planner splits the rows of a node with very many links.
+    In each round every node takes the label of its smallest neighbour, and of that one's, and the links are contracted
+    to links between labels, without loops and repeats, so they shrink from round to round until none is left. Labels
+    are minima, which are aggregated before they are shuffled; both sides of the joins are tables, so the adaptive
+    planner splits the rows of a node with very many links.
     """
-    both = materialize(links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels")
+    edges = materialize(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    found = materialize(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
-        spread = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        spread = materialize(spread, "labels")
-        jumped = spread.alias("x").join(spread.select(F.col("node").alias("component"), F.col("component").alias("next")), "component", "left")
-        jumped = materialize(jumped.select("node", "was", F.coalesce("next", "component").alias("component")), "labels")
-        labels = jumped.select("node", "component")
-        if jumped.where(F.col("was") != F.col("component")).isEmpty():
-            return labels
+        if edges.isEmpty():
+            return found
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("x")).select("x.*")
+        first = materialize(ends.groupBy("node").agg(F.min("near").alias("up")), "labels")
+        twice = first.join(first.select(F.col("node").alias("up"), F.col("up").alias("top")), "up").select("node", "top")
+        up = materialize(twice, "labels")
+        of = lambda c: up.select(F.col("node").alias(c), F.col("top").alias(f"{c}_up"))
+        moved = edges.join(of("a"), "a").join(of("b"), "b").where("a_up <> b_up")
+        edges = materialize(moved.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "links")
+        found = materialize(found.join(of("component"), "component", "left").select("node", F.coalesce("component_up", "component").alias("component")), "labels")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
