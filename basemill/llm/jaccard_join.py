@@ -46,6 +46,8 @@ DEPTH = 4
 PIVOT_BYTES = 48_000_000
 #: Points at one shingle that are paired; more are tied to one of them.
 CROWD = 64
+#: Width of the bands of sizes, as a logarithm: sizes of linked sets are in the same band or in neighbours.
+BAND = float(np.log(4 / 3)) * 1.001
 #: Counters of the sketch, and counters that travel as one row.
 SKETCH, BLOCK = 1 << 22, 1 << 13
 NO_ID = -(2**63)
@@ -153,7 +155,7 @@ def coarse_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     paired, and a pair is kept if it meets often enough: of its common shingles all up to the end of the shorter prefix
     are meetings, so a pair that could reach the similarity by what lies beyond it is kept, and no other. Where more
     points meet they are tied to the smallest one, in bands of sizes, as linked sets differ in size by a quarter at most;
-    a shingle that is crowded in one batch already is sent on as one marked row.
+    of a shingle that is crowded in one batch already, only the smallest point of each band is sent on, marked.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rank)
 
@@ -181,13 +183,21 @@ def coarse_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
             start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             size = np.diff(np.append(start, len(h)))
             crowded = np.repeat(size > CROWD, size)
-            lead = np.repeat(start, size)
-            alone = ~crowded | (lead == np.arange(len(h)))
-            # ties are cells of two points of their own, one for each pair and band that occurs
-            tied = np.unique(np.stack([fp[lead][~alone], n[lead][~alone], fp[~alone], n[~alone]], axis=1), axis=0)
-            made = mix(tied[:, 0].astype(np.uint64) * _ODD[0] + mix(tied[:, 2].astype(np.uint64)))
+            # each point is in its own band and the next; ties are cells of two points of their own, one for each pair
+            h2, fp2, n2 = np.tile(h[crowded], 2), np.tile(fp[crowded], 2), np.tile(n[crowded], 2)
+            band = np.floor(np.log(n[crowded].astype(np.float64)) / BAND).astype(np.int64)
+            band = np.concatenate([band, band + 1])
+            by = np.lexsort((fp2, band, h2))
+            h2, fp2, n2, band = h2[by], fp2[by], n2[by], band[by]
+            start = np.flatnonzero(np.append(True, (h2[1:] != h2[:-1]) | (band[1:] != band[:-1]))[: len(h2)])
+            lead = np.repeat(start, np.diff(np.append(start, len(h2))))
+            other = lead != np.arange(len(h2))
+            sent = np.unique(np.stack([h2[start].view(np.int64), fp2[start], n2[start]], axis=1), axis=0)
+            tied = np.unique(np.stack([fp2[lead][other], n2[lead][other], fp2[other], n2[other]], axis=1), axis=0)
+            made = mix(tied[:, 0].astype(np.uint64) * _ODD[0] + mix(tied[:, 2].astype(np.uint64))).view(np.int64)
+            h, fp, n = h[~crowded].view(np.int64), fp[~crowded], n[~crowded]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([h[alone], made, made]).astype(np.int64)), pa.array(np.concatenate([fp[alone], tied[:, 0], tied[:, 2]])), pa.array(np.concatenate([n[alone] * 2 + crowded[alone], tied[:, 1] * 2 + 1, tied[:, 3] * 2 + 1]))],
+                [pa.array(np.concatenate([h, sent[:, 0], made, made])), pa.array(np.concatenate([fp, sent[:, 1], tied[:, 0], tied[:, 2]])), pa.array(np.concatenate([n * 2, sent[:, 2] * 2 + 1, tied[:, 1] * 2 + 1, tied[:, 3] * 2 + 1]))],
                 ["h", "fp", "m"],
             )
 
@@ -203,7 +213,7 @@ def coarse_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     needed = F.ceil((F.col("na") + F.col("nb")) * 3 / 7 - F.lit(1e-6)) - (F.floor((3 * most + 3) / 4) - 1)
     kept = pairs.where(4 * least >= 3 * most).groupBy("a", "na", "b", "nb").agg(F.count("*").alias("times")).where(F.col("times") >= needed).select("a", "b")
 
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(4 / 3)) * 1.001)).cast("int")
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(BAND)).cast("int")
     many = met.where("crowd").select("h", "fp", F.explode(F.array(band, band + 1)).alias("band"))
     tied = many.withColumn("b", F.min("fp").over(Window.partitionBy("h", "band"))).where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return kept.unionByName(tied)

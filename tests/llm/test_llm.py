@@ -77,6 +77,17 @@ def test_jaccard_join(spark, monkeypatch, limit, crowd):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts)
 
 
+def test_jaccard_join_crowds_of_unlike_sizes(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    texts = []
+    for _ in range(12):  # short and long texts meet at the same shingles, more of them than are paired
+        passage, rest = [word() for _ in range(20)], [word() for _ in range(40)]
+        texts += [" ".join([word(), *passage, word()]) for _ in range(40)] + [" ".join([word(), *passage, *rest, word()]) for _ in range(50)]
+    found = jaccard_join.jaccard_components(docs(spark, texts).coalesce(1)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts)
+
+
 def test_jaccard_join_edges(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id long, text string")
