@@ -16,11 +16,6 @@ def qualities(quality: Column) -> Column:
     return F.transform(F.split(quality, ""), lambda c: F.ascii(c) - 33)
 
 
-def quality_sum(quality: Column) -> Column:
-    """Sum of the Phred values without an array: lengths by value are cheap only here and there, so it is an aggregate."""
-    return F.aggregate(F.split(quality, ""), F.lit(0), lambda s, c: s + F.ascii(c) - 33)
-
-
 def count_of(text: Column, characters: str) -> Column:
     """How many of the characters a string holds."""
     return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
@@ -78,7 +73,29 @@ def base_groups(length: int) -> list[tuple[int, int]]:
     return groups
 
 
-def gc_claims(length: int) -> list[tuple[int, int, int]]:
-    """(count, first bin, last bin): the percents that each GC count of a read length stands for, half a base about it."""
-    half_up = lambda x: math.floor(x + 0.5)
-    return [(g, half_up(max(0.0, g - 0.5) * 100.0 / length), half_up(min(float(length), g + 0.5) * 100.0 / length)) for g in range(length + 1)]
+def group_width(longest: Column) -> Column:
+    """Width of the groups of positions for reads up to ``longest``: the first of 2, 5, 10, 20, ... with fewer than 75 groups."""
+    widths = F.array(*[F.lit(w * 10**e) for e in range(8) for w in (2, 5, 10)])
+    return F.element_at(F.filter(widths, lambda w: 9 + F.ceil((longest - 9) / w.cast("double")) < 75), 1)
+
+
+def base_group(position: Column, longest: Column, width: Column) -> Column:
+    """struct<first, last> of the group that a position is in (see ``base_groups``)."""
+    single = (longest <= 75) | (position < 10)
+    at = F.when(width > 10, F.greatest(F.lit(10), position - position % width)).otherwise(position - (position - 10) % width)
+    end = F.when(width > 10, position - position % width).otherwise(at) + width - 1
+    return F.struct(F.when(single, position).otherwise(at).cast("int").alias("first"), F.when(single, position).otherwise(F.least(end, longest)).cast("int").alias("last"))
+
+
+def gc_claims(length: Column, percent: Column) -> Column:
+    """How many GC counts of reads of a length stand for a percent: half a base about a count reaches it.
+
+    A count g claims the percents from round(max(g - 0.5, 0) * 100 / length) to round(min(g + 0.5, length) * 100 / length);
+    the few counts about percent * length / 100 are tried.
+    """
+    half_up = lambda x: F.floor(x + 0.5)
+    wide = length.cast("double")
+    low = F.greatest(F.lit(0).cast("bigint"), F.floor((percent - 1) * wide / 100.0 - 1.5).cast("bigint"))
+    high = F.least(length.cast("bigint"), F.ceil((percent + 1) * wide / 100.0 + 1.5).cast("bigint"))
+    reaches = lambda g: (half_up(F.greatest(F.lit(0.0), g - F.lit(0.5)) * 100.0 / wide) <= percent) & (half_up(F.least(wide, g + F.lit(0.5)) * 100.0 / wide) >= percent)
+    return F.size(F.filter(F.sequence(low, high), reaches))

@@ -1,18 +1,38 @@
-"""Distributions over reads. Every function takes reads (KEYS, sequence, quality) and returns one small DataFrame, keyed
-by KEYS, so that both mates and both stages are one query. Reads of length 0 are left out of all of them."""
+"""Distributions over reads. Every function takes reads (KEYS, sequence, quality), or the ``profile`` of reads, and returns
+one small DataFrame, keyed by KEYS, so that both mates and both stages are one query. Reads of length 0 are left out.
+
+All counts but those of whole sequences come from one Arrow pass: each batch is counted with numpy on its flat bytes, what
+leaves a partition are partial counts (kind, a, b, n), and these are summed. A metric alone asks for its kind; several
+share a written ``profile``, so the reads are scanned once.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import adapters as A
 from ..functions import expressions as E
+from ..sources.shared import written
+from . import batch as B
 
 KEYS = ("read",)
+#: What a profile counts, by (a, b): quality (position, value), base (position, class), gc (length, count), mean (rounded,
+#: truncated mean quality), hit (adapter * 2^31 + first hit, length), any (1 if an adapter was hit, 0).
+KINDS = ("quality", "base", "gc", "mean", "hit", "any")
+_BASE = np.full(256, 5, np.int64)
+for _i, _b in enumerate("ACGTN"):
+    _BASE[[ord(_b), ord(_b.lower())]] = _i
+_SHIFT = 31
+#: Distinct counts that a partition holds before it passes them on.
+HELD = 2_000_000
 
 
 def nonempty(reads: DataFrame) -> DataFrame:
@@ -25,17 +45,113 @@ def first_hits(read: Column, sequence: Column, adapters=A.STANDARD) -> Column:
     return F.filter(F.array(*found), lambda x: x["hit"] > 0)
 
 
+def _tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct codes, their counts); by counters where the codes are dense."""
+    if not len(codes):
+        return codes, codes
+    top = int(codes.max())
+    if top < 4 * len(codes) + 65536:
+        n = np.bincount(codes)
+        some = np.flatnonzero(n)
+        return some, n[some]
+    return np.unique(codes, return_counts=True)
+
+
+def _pack(codes: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return (codes // width << _SHIFT) | codes % width, n
+
+
+def _count(kind: str, part: pa.RecordBatch, adapters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(a << 31 | b, count) of one kind over the reads of a piece; none of them is empty."""
+    column = part.column("quality" if kind in ("quality", "mean") else "sequence")
+    if kind in ("hit", "any"):
+        length = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes, hit_any = [], np.zeros(len(length), np.int64)
+        for k, kmer in enumerate(adapters):
+            at = pc.find_substring(column, kmer).to_numpy(zero_copy_only=False).astype(np.int64) if kmer else np.full(len(length), -1)
+            some = at >= 0
+            hit_any |= some
+            codes.append(((k << _SHIFT | at[some] + 1), length[some]))
+        if kind == "any":
+            return _tally(hit_any)
+        pairs, n = np.unique(np.stack([np.concatenate([x for x, _ in codes]), np.concatenate([x for _, x in codes])]), axis=1, return_counts=True)
+        return pairs, n
+    data, at = B.flat(column)
+    length = np.diff(at)
+    if kind in ("quality", "base"):
+        position = np.arange(1, len(data) + 1) - np.repeat(at[:-1], length)
+        if kind == "quality":
+            return _pack(*_tally(position * 128 + data - 33), 128)
+        return _pack(*_tally(position * 8 + _BASE[data]), 8)
+    if kind == "gc":
+        gc = np.add.reduceat((_BASE[data] == 1) | (_BASE[data] == 2), at[:-1], dtype=np.int64)
+        return np.unique(length << _SHIFT | gc, return_counts=True)
+    total = np.add.reduceat(data.astype(np.int64) - 33, at[:-1])
+    return _pack(*_tally(np.floor(total / length + 0.5).astype(np.int64) * 128 + total // length), 128)
+
+
+def counts(reads: DataFrame, kinds: tuple[str, ...], keys=KEYS) -> DataFrame:
+    """(KEYS, kind, a, b, n): summed partial counts. For kind hit, ``a`` holds adapter and position."""
+    needed = [c for c in ("quality", "sequence") if any((k in ("quality", "mean")) == (c == "quality") for k in kinds)]
+    types = dict(reads.dtypes)
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", kind string, a long, b long, n long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (kind, *values), found in held.items():
+                codes, n = (np.concatenate([x[i] for x in found], axis=-1) for i in (0, 1))
+                codes, inverse = np.unique(codes, axis=-1, return_inverse=True)
+                n = np.bincount(inverse.ravel(), weights=n).astype(np.int64)
+                a, b = codes if codes.ndim == 2 else (codes >> _SHIFT, codes & ((1 << _SHIFT) - 1))
+                same = [pa.array([v] * len(n), part.schema.field(k).type) for k, v in zip(keys, values, strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array([kind] * len(n), pa.string()), pa.array(a), pa.array(b), pa.array(n)], [*keys, "kind", "a", "b", "n"])
+            held.clear()
+
+        for part in B.pieces(batches, needed[0]):
+            for values in zip(*(pc.unique(part.column(k)).to_pylist() for k in keys), strict=True) if len(keys) == 1 else pa.table([part.column(k) for k in keys], list(keys)).group_by(list(keys)).aggregate([]).to_pylist():
+                values = tuple(values) if len(keys) == 1 else tuple(values[k] for k in keys)
+                own = part
+                for k, v in zip(keys, values, strict=True):
+                    own = own.filter(pc.equal(own.column(k), v) if v is not None else pc.is_null(own.column(k)))
+                other = dict(zip(keys, values, strict=True)).get("read")
+                kmers = ["" if name == A.OTHER_MATE.get(other) else seq[: E.KMER] for name, seq in A.STANDARD]
+                for kind in kinds:
+                    found = _count(kind, own, kmers)
+                    if len(found[1]):
+                        held.setdefault((kind, *values), []).append(found)
+                        size += len(found[1])
+            if size > HELD:
+                yield from rows()
+                size = 0
+        if held:
+            yield from rows()
+
+    partial = nonempty(reads).select(*keys, *needed).mapInArrow(run, schema)
+    return partial.groupBy(*keys, "kind", "a", "b").agg(F.sum("n").alias("n"))
+
+
+def profile(reads: DataFrame, keys=KEYS) -> DataFrame:
+    """The counts of all KINDS, written to the shared folder; its size depends on lengths and not on the number of reads."""
+    return written(counts(reads, KINDS, keys).coalesce(1), "profile")
+
+
+def _of(source: DataFrame, keys, *kinds: str) -> DataFrame:
+    if "kind" in source.columns:
+        return source.where(F.col("kind").isin(list(kinds)))
+    return counts(source, kinds, keys)
+
+
 def basic_statistics(reads: DataFrame, keys=KEYS) -> DataFrame:
     """Counts and headline percents; percents are of all bases, N included."""
-    s, q = F.col("sequence"), F.col("quality")
-    per_read = nonempty(reads).select(
-        *keys, F.length(s).cast("long").alias("len"), *[E.count_of(s, b + b.lower()).alias(f"of_{b.lower()}") for b in "ACGTN"],
-        E.count_of(q, "".join(map(chr, range(33 + 20, 127)))).alias("q20"), E.count_of(q, "".join(map(chr, range(33 + 30, 127)))).alias("q30"),
-        (F.size(first_hits(F.col("read"), s)) > 0).cast("long").alias("hit"),
-    )
-    total = per_read.groupBy(*keys).agg(
-        F.count("*").alias("reads"), F.sum("len").alias("bases"), F.min("len").alias("min_length"), F.max("len").alias("max_length"),
-        *[F.sum(f"of_{b}").alias(f"n_{b}") for b in "acgtn"], F.sum("q20").alias("q20"), F.sum("q30").alias("q30"), F.sum("hit").alias("adapter_reads"),
+    kind, a, b, n = (F.col(x) for x in ("kind", "a", "b", "n"))
+    when = lambda test, x=n: F.coalesce(F.sum(F.when(test, x)), F.lit(0)).cast("long")
+    total = _of(reads, keys, "quality", "base", "gc", "any").groupBy(*keys).agg(
+        when(kind == "gc").alias("reads"), when(kind == "base").alias("bases"), F.min(F.when(kind == "gc", a)).alias("min_length"), F.max(F.when(kind == "gc", a)).alias("max_length"),
+        *[when((kind == "base") & (b == i)).alias(f"n_{x}") for i, x in enumerate("acgtn")], when((kind == "quality") & (b >= 20)).alias("q20"), when((kind == "quality") & (b >= 30)).alias("q30"),
+        when((kind == "any") & (b == 1)).alias("adapter_reads"),
     )
     percent = lambda x, of="bases": F.round(100.0 * x / F.col(of), 6)
     return total.select(
@@ -46,23 +162,24 @@ def basic_statistics(reads: DataFrame, keys=KEYS) -> DataFrame:
 
 
 def length_distribution(reads: DataFrame, keys=KEYS) -> DataFrame:
+    """Alone, the lengths are one JVM aggregate."""
+    if "kind" in reads.columns:
+        return _of(reads, keys, "gc").groupBy(*keys, F.col("a").cast("int").alias("length")).agg(F.sum("n").alias("reads"))
     return nonempty(reads).groupBy(*keys, F.length("sequence").alias("length")).agg(F.count("*").alias("reads"))
 
 
 def base_content(reads: DataFrame, keys=KEYS) -> DataFrame:
     """Per position: counts, coverage, A/C/G/T as percent of the canonical calls, N of all calls and of covering reads."""
-    calls = nonempty(reads).select(*keys, F.posexplode(F.split(F.upper("sequence"), "")).alias("i", "base")).groupBy(*keys, "i", "base").agg(F.count("*").alias("c"))
-    by_base = [F.coalesce(F.sum(F.when(F.col("base") == b, F.col("c"))), F.lit(0).cast("long")).alias(f"n_{b.lower()}") for b in "ACGTN"]
-    counts = calls.groupBy(*keys, (F.col("i") + 1).alias("position")).agg(*by_base, F.sum("c").alias("coverage"))
+    by_base = [F.coalesce(F.sum(F.when(F.col("b") == i, F.col("n"))), F.lit(0).cast("long")).alias(f"n_{b}") for i, b in enumerate("acgtn")]
+    counted = _of(reads, keys, "base").groupBy(*keys, F.col("a").cast("int").alias("position")).agg(*by_base, F.sum("n").alias("coverage"))
     canonical = reduce(lambda a, b: a + b, [F.col(f"n_{b}") for b in "acgt"])
     share = lambda x, of: F.when(of > 0, F.round(100.0 * x / of, 6)).otherwise(0.0)
-    return counts.select("*", *[share(F.col(f"n_{b}"), canonical).alias(f"{b}_percent") for b in "acgt"], share(F.col("n_n"), F.col("coverage")).alias("n_percent"))
+    return counted.select("*", *[share(F.col(f"n_{b}"), canonical).alias(f"{b}_percent") for b in "acgt"], share(F.col("n_n"), F.col("coverage")).alias("n_percent"))
 
 
 def quality_histogram(reads: DataFrame, keys=KEYS) -> DataFrame:
-    """(position, q) counts: the one exploded pass that the tables by position come from."""
-    codes = nonempty(reads).select(*keys, F.posexplode(F.split("quality", "")).alias("i", "c"))
-    return codes.groupBy(*keys, "i", "c").agg(F.count("*").alias("n")).select(*keys, (F.col("i") + 1).alias("position"), (F.ascii("c") - 33).alias("q"), "n")
+    """(position, q) counts, from which the tables by position come."""
+    return _of(reads, keys, "quality").select(*keys, F.col("a").cast("int").alias("position"), F.col("b").cast("int").alias("q"), "n")
 
 
 def quality_by_position(histogram: DataFrame, keys=KEYS, least: int = 100) -> DataFrame:
@@ -77,28 +194,27 @@ def quality_by_position(histogram: DataFrame, keys=KEYS, least: int = 100) -> Da
 
 
 def quality_by_group(by_position: DataFrame, keys=KEYS) -> DataFrame:
-    """Unweighted means of the tables by position over the groups of positions; the join is with fewer than 75 rows."""
-    longest = by_position.agg(F.max("position")).first()[0] or 0
-    groups = by_position.sparkSession.createDataFrame(E.base_groups(longest) or [(0, 0)], "first int, last int")
-    joined = by_position.join(F.broadcast(groups), F.col("position").between(F.col("first"), F.col("last")))
-    return joined.groupBy(*keys, "first", "last").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("mean_quality", "lower_quartile", "median")])
+    """Unweighted means of the tables by position over the groups of positions, which follow from the longest position."""
+    longest = F.max("position").over(Window.partitionBy(F.lit(0)))  # over the small table by position
+    grouped = by_position.withColumn("longest", longest).withColumn("width", E.group_width(F.col("longest")))
+    grouped = grouped.withColumn("g", E.base_group(F.col("position"), F.col("longest"), F.col("width")))
+    return grouped.groupBy(*keys, "g.first", "g.last").agg(*[F.round(F.avg(c), 4).alias(c) for c in ("mean_quality", "lower_quartile", "median")])
 
 
 def read_quality(reads: DataFrame, keys=KEYS) -> DataFrame:
     """Reads by mean quality, rounded and truncated; dense from 0 to the largest."""
-    per_read = nonempty(reads).select(*keys, E.quality_sum(F.col("quality")).alias("s"), F.length("quality").alias("n")).groupBy(*keys, "s", "n").agg(F.count("*").alias("c"))
-    both = per_read.select(*keys, "c", F.explode(F.array(
-        F.struct(F.round(F.col("s") / F.col("n")).cast("int").alias("mean_quality"), F.lit(1).alias("rounded")),
-        F.struct(F.expr("s div n").cast("int").alias("mean_quality"), F.lit(0).alias("rounded")),
+    both = _of(reads, keys, "mean").select(*keys, "n", F.explode(F.array(
+        F.struct(F.col("a").cast("int").alias("mean_quality"), F.lit(1).alias("rounded")), F.struct(F.col("b").cast("int").alias("mean_quality"), F.lit(0).alias("rounded")),
     )).alias("x"))
-    counted = both.groupBy(*keys, "x.mean_quality").agg(*[F.coalesce(F.sum(F.when(F.col("x.rounded") == r, F.col("c"))), F.lit(0).cast("long")).alias(name) for r, name in ((1, "read_count"), (0, "read_count_truncate"))])
-    dense = counted.groupBy(*keys).agg(F.max("mean_quality").alias("top")).select(*keys, F.explode(F.sequence(F.lit(0), F.col("top"))).alias("mean_quality"))
-    return dense.join(counted, [*keys, "mean_quality"], "left").na.fill(0, ["read_count", "read_count_truncate"])
+    counted = both.groupBy(*keys, "x.mean_quality").agg(*[F.coalesce(F.sum(F.when(F.col("x.rounded") == r, F.col("n"))), F.lit(0).cast("long")).alias(name) for r, name in ((1, "read_count"), (0, "read_count_truncate"))])
+    found = F.map_from_entries(F.collect_list(F.struct("mean_quality", F.struct("read_count", "read_count_truncate"))))  # 94 values at most
+    dense = counted.groupBy(*keys).agg(found.alias("m"), F.max("mean_quality").alias("top")).select(*keys, "m", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("mean_quality"))
+    return dense.select(*keys, "mean_quality", *[F.coalesce(F.element_at("m", F.col("mean_quality"))[c], F.lit(0).cast("long")).alias(c) for c in ("read_count", "read_count_truncate")])
 
 
 def gc_counts(reads: DataFrame, keys=KEYS) -> DataFrame:
     """(length, gc) counts, from which both GC distributions come."""
-    return nonempty(reads).groupBy(*keys, F.length("sequence").alias("length"), E.count_of(F.col("sequence"), "GCgc").alias("gc")).agg(F.count("*").alias("n"))
+    return _of(reads, keys, "gc").select(*keys, F.col("a").cast("int").alias("length"), F.col("b").alias("gc"), "n")
 
 
 def gc_weights(lengths: DataFrame) -> DataFrame:
@@ -112,13 +228,18 @@ def gc_weights(lengths: DataFrame) -> DataFrame:
 
 
 def gc_distribution(reads: DataFrame, keys=KEYS) -> DataFrame:
-    """Bins 0 to 100: reads by rounded GC percent, and the fractional, length-aware counts."""
-    counts = gc_counts(reads, keys)
-    raw = counts.groupBy(*keys, E.gc_bin(F.col("gc"), F.col("length")).alias("bin")).agg(F.sum("n").alias("reads"))
-    fractional = counts.join(gc_weights(counts), ["length", "gc"]).groupBy(*keys, "bin").agg(F.sum(F.col("n") * F.col("weight")).alias("observed"))
-    dense = counts.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(100))).alias("bin"))
-    joined = dense.join(raw, [*keys, "bin"], "left").join(fractional, [*keys, "bin"], "left")
-    return joined.select(*keys, "bin", F.coalesce("reads", F.lit(0).cast("long")).alias("reads"), F.round(F.coalesce("observed", F.lit(0.0)), 6).alias("observed"))
+    """Bins 0 to 100: reads by rounded GC percent, and the fractional, length-aware counts. One use of the counts."""
+    edge = lambda x: F.floor(x * F.lit(100.0) / F.col("length") + 0.5).cast("int")
+    low, high = edge(F.greatest(F.lit(0.0), F.col("gc") - F.lit(0.5))), edge(F.least(F.col("length").cast("double"), F.col("gc") + F.lit(0.5)))
+    counted = gc_counts(reads, keys).select(*keys, "n", E.gc_bin(F.col("gc"), F.col("length")).alias("raw"), F.explode(F.sequence(low, high)).alias("bin"), "length")
+    shares = counted.groupBy(*keys, "length", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("raw") == F.col("bin"), F.col("n"))).alias("reads"))
+    shares = shares.select(*keys, F.col("bin"), "reads", (F.col("n") / E.gc_claims(F.col("length"), F.col("bin"))).alias("observed"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(100)))
+    binned = shares.groupBy(*keys, "bin").agg(F.sum("reads").alias("reads"), F.sum("observed").alias("observed"))
+    found = F.map_from_entries(F.collect_list(F.struct("bin", F.struct("reads", "observed"))))  # 101 bins
+    dense = binned.groupBy(*keys).agg(found.alias("m")).select(*keys, "m", every.alias("bin"))
+    at = F.element_at("m", F.col("bin"))
+    return dense.select(*keys, "bin", F.coalesce(at["reads"], F.lit(0).cast("long")).alias("reads"), F.round(F.coalesce(at["observed"], F.lit(0.0)), 6).alias("observed"))
 
 
 def gc_deviation(distribution: DataFrame, keys=KEYS) -> DataFrame:
@@ -141,15 +262,22 @@ def gc_deviation(distribution: DataFrame, keys=KEYS) -> DataFrame:
 
 def adapter_content(reads: DataFrame, keys=KEYS) -> DataFrame:
     """Percent of all reads whose first hit of the adapter is at or before the position and that reach the position."""
-    own = nonempty(reads)
-    totals = own.groupBy(*keys).agg(F.count("*").alias("total"), F.max(F.length("sequence")).alias("longest"))
-    hits = own.select(*keys, F.length("sequence").alias("n"), F.explode(first_hits(F.col("read"), F.col("sequence"))).alias("x")).groupBy(*keys, "n", "x.adapter", "x.hit").agg(F.count("*").alias("c"))
-    events = hits.select(*keys, "adapter", F.explode(F.array(F.struct(F.col("hit").alias("position"), F.col("c").alias("d")), F.struct((F.col("n") + 1).alias("position"), (-F.col("c")).alias("d")))).alias("e"))
-    steps = events.groupBy(*keys, "adapter", "e.position").agg(F.sum("e.d").alias("d"))
-    names = F.filter(F.array(*[F.struct(F.lit(n).alias("adapter"), F.lit(A.OTHER_MATE.get("R1") == n).alias("r2"), F.lit(A.OTHER_MATE.get("R2") == n).alias("r1")) for n, _ in A.STANDARD]), lambda x: ~((F.col("read") == "R1") & x["r2"]) & ~((F.col("read") == "R2") & x["r1"]))
-    dense = totals.select(*keys, "total", "longest", F.explode(names).alias("a")).select(*keys, "total", F.col("a.adapter").alias("adapter"), F.explode(F.sequence(F.lit(1), F.col("longest"))).alias("position"))
-    running = Window.partitionBy(*keys, "adapter").orderBy("position")
-    return dense.join(steps, [*keys, "adapter", "position"], "left").select(*keys, "adapter", "position", F.round(100.0 * F.sum(F.coalesce("d", F.lit(0))).over(running) / F.col("total"), 6).alias("percent"))
+    source = _of(reads, keys, "hit", "gc")
+    which = F.shiftright("a", _SHIFT).cast("int")
+    begin = F.struct(which.alias("ord"), (F.col("a").bitwiseAND((1 << _SHIFT) - 1)).alias("position"), F.col("n").alias("d"))
+    end = F.struct(which.alias("ord"), (F.col("b") + 1).alias("position"), (-F.col("n")).alias("d"))
+    of_length = F.struct(F.lit(-1).alias("ord"), F.col("a").alias("position"), F.col("n").alias("d"))
+    events = source.select(*keys, F.explode(F.when(F.col("kind") == "hit", F.array(begin, end)).otherwise(F.array(of_length))).alias("e")).groupBy(*keys, "e.ord", "e.position").agg(F.sum("e.d").alias("d"))
+    w = Window.partitionBy(*keys)
+    told = events.withColumn("total", F.sum(F.when(F.col("ord") < 0, F.col("d"))).over(w)).withColumn("longest", F.max(F.when(F.col("ord") < 0, F.col("position"))).over(w))
+    other = lambda r: F.array(*[F.lit(A.OTHER_MATE.get(r) == n) for n, _ in A.STANDARD])
+    absent = lambda i: F.when(F.col("read") == "R1", F.element_at(other("R1"), i + 1)).when(F.col("read") == "R2", F.element_at(other("R2"), i + 1)).otherwise(False)
+    every = F.filter(F.sequence(F.lit(0), F.lit(len(A.STANDARD) - 1)), lambda i: ~absent(i))
+    grid = told.where("ord < 0 and position = longest").select(*keys, "total", F.explode(every).alias("ord"), "longest").select(*keys, "total", "ord", F.explode(F.sequence(F.lit(1).cast("long"), F.col("longest"))).alias("position"), F.lit(0).cast("long").alias("d"))
+    steps = grid.unionByName(told.where("ord >= 0 and position <= longest").select(*keys, "total", "ord", "position", "d")).groupBy(*keys, "total", "ord", "position").agg(F.sum("d").alias("d"))
+    running = Window.partitionBy(*keys, "ord").orderBy("position")
+    names = F.array(*[F.lit(n) for n, _ in A.STANDARD])
+    return steps.select(*keys, F.element_at(names, F.col("ord") + 1).alias("adapter"), F.col("position").cast("int").alias("position"), F.round(100.0 * F.sum("d").over(running) / F.col("total"), 6).alias("percent"))
 
 
 def duplication_counts(reads: DataFrame, keys=KEYS) -> DataFrame:

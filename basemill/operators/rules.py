@@ -65,25 +65,26 @@ def rule_table(spark: SparkSession, rules: tuple = STANDARD) -> DataFrame:
 
 
 def observations(reads: DataFrame, keys=M.KEYS) -> DataFrame:
-    """(KEYS, observation, value) of every metric, from full-precision distributions; null where it can't be evaluated."""
-    position = M.quality_by_position(M.quality_histogram(reads, keys), keys)
-    content = M.base_content(reads, keys)
+    """(KEYS, observation, value) of every metric, from full-precision distributions; null where it can't be evaluated.
+
+    Reads are scanned twice: for the profile, from which all metrics but one come, and for the keys of duplication. The
+    values are one row a key until the last step.
+    """
+    profile = M.profile(reads, keys)
     gap = F.greatest(F.abs(F.col("a_percent") - F.col("t_percent")), F.abs(F.col("g_percent") - F.col("c_percent")))
-    quality = M.read_quality(reads, keys)
     modal = F.max_by(F.col("mean_quality"), F.struct(F.col("read_count_truncate"), -F.col("mean_quality")))
-    lengths = M.length_distribution(reads, keys)
     found = [
-        (M.quality_by_group(position, keys).groupBy(*keys), [("minimum_lower_quartile", F.min("lower_quartile")), ("minimum_median", F.min("median"))]),
-        (quality.groupBy(*keys), [("modal_mean_quality", modal)]),
-        (content.groupBy(*keys), [("maximum_base_difference_percent", F.max(gap)), ("maximum_n_percent", F.max("n_percent"))]),
-        (M.gc_deviation(M.gc_distribution(reads, keys), keys).groupBy(*keys), [("modeled_deviation_percent", F.max("deviation_percent"))]),
-        (lengths.groupBy(*keys), [("observed_length_count", F.count("*")), ("minimum_length", F.min("length"))]),
-        (M.duplication_summary(M.duplication_counts(reads, keys), keys).groupBy(*keys), [("deduplicated_loss_percent", 100 - F.max("deduplicated_remaining_percent"))]),
-        (M.adapter_content(reads, keys).groupBy(*keys), [("maximum_adapter_percent", F.max("percent"))]),
+        (M.quality_by_group(M.quality_by_position(M.quality_histogram(profile, keys), keys), keys), [("minimum_lower_quartile", F.min("lower_quartile")), ("minimum_median", F.min("median"))]),
+        (M.read_quality(profile, keys), [("modal_mean_quality", modal)]),
+        (M.base_content(profile, keys), [("maximum_base_difference_percent", F.max(gap)), ("maximum_n_percent", F.max("n_percent"))]),
+        (M.gc_deviation(M.gc_distribution(profile, keys), keys), [("modeled_deviation_percent", F.max("deviation_percent"))]),
+        (M.length_distribution(profile, keys), [("observed_length_count", F.count("*")), ("minimum_length", F.min("length"))]),
+        (M.duplication_summary(M.duplication_counts(reads, keys), keys), [("deduplicated_loss_percent", 100 - F.max("deduplicated_remaining_percent"))]),
+        (M.adapter_content(profile, keys), [("maximum_adapter_percent", F.max("percent"))]),
     ]
     out = None
-    for grouped, values in found:
-        wide = grouped.agg(*[v.cast("double").alias(n) for n, v in values])
+    for rows, values in found:
+        wide = rows.groupBy(*keys).agg(*[v.cast("double").alias(n) for n, v in values])
         long = wide.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("observation"), F.round(F.col(n), 6).alias("value")) for n, _ in values])).alias("x")).select(*keys, "x.*")
         out = long if out is None else out.unionByName(long)
     return out
@@ -100,8 +101,9 @@ def evaluate(observed: DataFrame, rules: DataFrame, keys=M.KEYS) -> DataFrame:
     """One row a check: (KEYS, ord, metric_id, observation, value, status); fail is tested before warning. The rule table
     is a few rows."""
     status = F.when(F.col("value").isNull(), "not_evaluated").when(_meets("fail_op", "fail_value"), "fail").when(_meets("warn_op", "warn_value"), "warning").otherwise("pass")
-    every = observed.select(*keys).distinct().join(F.broadcast(rules))
-    return every.join(observed, [*keys, "observation"], "left").select(*keys, "ord", "metric_id", "observation", "value", status.alias("status"))
+    values = observed.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("observation", "value"))).alias("values"))  # ten a key
+    every = values.join(F.broadcast(rules)).withColumn("value", F.col("values")[F.col("observation")])
+    return every.select(*keys, "ord", "metric_id", "observation", "value", status.alias("status"))
 
 
 def severity(status) -> F.Column:

@@ -1,20 +1,22 @@
-"""Trimming of reads. Steps are column expressions, but for the approximate adapter search, which is Arrow and numpy.
+"""Trimming of reads. All steps of a batch run on flat numpy arrays in one Arrow function (see ``batch``), so the plan is
+one pass over the reads, whatever is trimmed; filters and counts stand behind it and can't multiply its expressions.
 
-A step takes and returns a DataFrame with sequence, quality and the flags of ``start``. ``trim_reads`` runs them in their
-fixed order: UMI, front, tail, cut_front, cut_tail, cut_right, adapters, poly-G, poly-X, length filter.
+``trim_reads`` runs the steps in their fixed order: UMI, front, tail, cut_front, cut_tail, cut_right, adapters, poly-G,
+poly-X, length filter. A single step is a configuration with that step alone.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import adapters as A
-from ..functions import expressions as E
+from . import batch as B
 
 
 @dataclass(frozen=True)
@@ -61,178 +63,62 @@ class TrimConfig:
         return replace(cls(cut_front=True, cut_tail=True, cut_right=True, quality=20, window=4, min_length=50, poly_g=10, poly_x=10, adapter_trimming=True), **own)
 
 
-def start(reads: DataFrame) -> DataFrame:
-    """Adds the flags that the steps set."""
-    n = F.length("sequence").cast("long")
-    return reads.withColumns({
-        "original_length": n, "quality_trimmed": F.lit(False), "adapter_position": F.lit(None).cast("int"), "poly_g_trimmed": F.lit(False),
-        "poly_x_trimmed": F.lit(False), "corrected_bases": F.lit(0).cast("long"), "umi": F.lit(None).cast("string"), "failed": F.lit(None).cast("string"),
-    })
-
-
-def _open(config_step: Column) -> Column:
-    """Reads that a step already failed are left as they are."""
-    return F.col("failed").isNull() & config_step
-
-
-def extract_umi(reads: DataFrame, n: int) -> DataFrame:
-    """Moves the first n bases to the header; shorter reads fail and stay."""
-    fits = F.length("sequence") >= n
-    umi = F.substring("sequence", 1, n)
-    return reads.withColumns({
-        "header": F.when(fits, F.concat("header", F.lit(" UMI:"), umi)).otherwise(F.col("header")), "umi": F.when(fits, umi), "failed": F.when(fits, F.col("failed")).otherwise("UMI_TOO_SHORT"),
-        "sequence": F.when(fits, F.substr(F.col("sequence"), F.lit(n + 1))).otherwise(F.col("sequence")), "quality": F.when(fits, F.substr(F.col("quality"), F.lit(n + 1))).otherwise(F.col("quality")),
-    })
-
-
-def keep(reads: DataFrame, first: Column, length: Column, flag: str | None = None, when: Column | None = None) -> DataFrame:
-    """Keeps ``length`` bases from the 0-based ``first``; ``flag`` is set where that removes any."""
-    when = F.lit(True) if when is None else when
-    cut = lambda c: F.when(when, F.substr(F.col(c), first + 1, length)).otherwise(F.col(c))
-    own = {"sequence": cut("sequence"), "quality": cut("quality")}
-    if flag:
-        own[flag] = F.col(flag) | (when & (length < F.length("sequence")))
-    return reads.withColumns(own)
-
-
-def trim_fixed(reads: DataFrame, front: int, tail: int) -> DataFrame:
-    n = F.length("sequence")
-    if front:
-        reads = keep(reads, F.least(F.lit(front), n), n, when=_open(F.lit(True)))
-    return keep(reads, F.lit(0), F.greatest(F.lit(0), n - tail), when=_open(F.lit(True))) if tail else reads
-
-
-def _below(quality: int) -> str:
-    return "[\\x21-\\x%02x]+" % (33 + quality - 1)
-
-
-def cut_front(reads: DataFrame, quality: int) -> DataFrame:
-    """Drops leading bases below the threshold."""
-    if quality == 0:
-        return reads
-    kept = F.length(F.regexp_replace("quality", "^" + _below(quality), ""))
-    return keep(reads, F.length("sequence") - kept, kept, "quality_trimmed", _open(F.lit(True)))
-
-
-def cut_tail(reads: DataFrame, quality: int) -> DataFrame:
-    if quality == 0:
-        return reads
-    return keep(reads, F.lit(0), F.length(F.regexp_replace("quality", _below(quality) + "$", "")), "quality_trimmed", _open(F.lit(True)))
-
-
-def cut_right(reads: DataFrame, quality: int, window: int) -> DataFrame:
-    """Cuts at the start of the first window whose mean is below the threshold; shorter reads stay.
-
-    Sums of windows are differences of one running sum, so a read costs its length, whatever the window.
-    """
-    n = F.length("sequence")
-    sums = F.aggregate(E.qualities(F.col("quality")), F.array(F.lit(0)), lambda a, q: F.concat(a, F.array(F.element_at(a, -1) + q)))
-    first = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), n - window)), lambda i: F.get("running", i + window) - F.get("running", i) < quality * window)
-    reads = reads.withColumn("running", F.when((n >= window) & F.col("failed").isNull(), sums))
-    cut = F.coalesce(F.when(n >= window, F.get(first, F.lit(0))), n)
-    return keep(reads, F.lit(0), cut, "quality_trimmed", _open(F.col("running").isNotNull())).drop("running")
-
-
-def byte_matrix(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts as rows of bytes, zeros behind them; lengths)."""
-    n = np.array([len(x) for x in texts], np.int64)
-    m = np.zeros((len(texts), int(n.max(initial=0))), np.uint8)
-    m[np.arange(m.shape[1]) < n[:, None]] = np.frombuffer(b"".join(texts), np.uint8)
-    return m, n
+#: What trimming adds to a read.
+FLAGS = {
+    "original_length": "long", "quality_trimmed": "boolean", "adapter_position": "int", "poly_g_trimmed": "boolean", "poly_x_trimmed": "boolean",
+    "corrected_bases": "long", "umi": "string", "failed": "string", "passed": "boolean",
+}
 
 
 def first_adapter(sequences: list[bytes], adapters: list[bytes], min_match: int = 6) -> np.ndarray:
-    """First position at which an adapter is found in each read, -1 for none.
-
-    An adapter may run over the end of the read; of the bases that then lie on each other, ``min_match`` or more, every
-    full eight admit a mismatch.
-    """
-    m, n = byte_matrix([x.upper() for x in sequences])
-    found = np.full(len(sequences), -1)
-    for p in range(max(0, m.shape[1] - min_match + 1)):
-        rows = np.flatnonzero((found < 0) & (n - p >= min_match))
-        if not len(rows):
-            continue
-        for a in adapters:
-            if len(a) < min_match:
-                continue
-            lying = np.minimum(len(a), n[rows] - p)
-            piece = m[rows, p : p + len(a)]
-            wrong = ((piece != np.frombuffer(a, np.uint8)[: piece.shape[1]]) & (piece != 0)).sum(axis=1)
-            hit = wrong <= lying // 8
-            found[rows[hit]] = p
-            rows = rows[~hit]
-            if not len(rows):
-                break
-    return found
-
-
-def adapter_search(adapters: tuple[str, ...], min_match: int):
-    own = [a.upper().encode() for a in adapters]
-
-    @F.pandas_udf("int")
-    def search(sequence: pd.Series) -> pd.Series:
-        at = first_adapter([x.encode() for x in sequence], own, min_match)
-        return pd.Series(np.where(at < 0, None, at), dtype="Int32")
-
-    return search
-
-
-def trim_adapters(reads: DataFrame, adapters: tuple[str, ...], min_match: int = 6) -> DataFrame:
-    at = adapter_search(adapters, min_match)(F.coalesce("sequence", F.lit("")))
-    reads = reads.withColumn("found_at", F.when(F.col("failed").isNull(), at))
-    reads = keep(reads, F.lit(0), F.coalesce("found_at", F.lit(0)), when=F.col("found_at").isNotNull())
-    return reads.withColumn("adapter_position", F.coalesce("found_at", "adapter_position")).drop("found_at")
-
-
-def trim_poly_g(reads: DataFrame, least: int) -> DataFrame:
-    tail = F.length("sequence") - F.length(F.regexp_replace("sequence", "[Gg]+$", ""))
-    return keep(reads, F.lit(0), F.length("sequence") - tail, "poly_g_trimmed", _open(tail >= least)) if least else reads
-
-
-def trim_poly_x(reads: DataFrame, least: int) -> DataFrame:
-    tail = F.length(F.regexp_extract(F.upper("sequence"), "(A+|C+|G+|T+)$", 1))
-    return keep(reads, F.lit(0), F.length("sequence") - tail, "poly_x_trimmed", _open(tail >= least)) if least else reads
-
-
-def length_filter(reads: DataFrame, min_length: int) -> DataFrame:
-    """Sets ``failed`` on short reads, unless another reason stands, and ``passed``."""
-    short = F.when(F.length("sequence") < min_length, F.lit("TOO_SHORT"))
-    return reads.withColumn("failed", F.coalesce("failed", short)).withColumn("passed", F.col("failed").isNull())
-
-
-def quality_steps(reads: DataFrame, c: TrimConfig) -> DataFrame:
-    reads = trim_fixed(reads, c.front, c.tail)
-    if c.cut_front:
-        reads = cut_front(reads, c.quality)
-    if c.cut_tail:
-        reads = cut_tail(reads, c.quality)
-    return cut_right(reads, c.quality, c.window) if c.cut_right else reads
+    """First position at which an adapter is found in each read, -1 for none."""
+    s, at = B.flat(pa.array(sequences, pa.binary()))
+    found = B.first_adapters(s, at[:-1], at[1:], [a.upper() for a in adapters], min_match)
+    return np.where(found < 0, -1, found - at[:-1])
 
 
 def trim_reads(reads: DataFrame, c: TrimConfig) -> DataFrame:
-    """All reads, those that fail included, with flags, ``failed`` and ``passed``."""
-    reads = start(reads)
-    if c.umi_length:
-        reads = extract_umi(reads, c.umi_length)
-    reads = quality_steps(reads, c)
-    if c.adapter_trimming:
-        reads = trim_adapters(reads, c.adapters, c.min_match)
-    return length_filter(trim_poly_x(trim_poly_g(reads, c.poly_g), c.poly_x), c.min_length)
+    """All reads, those that fail included, with FLAGS; ``failed`` is the reason, ``passed`` says that there is none.
+
+    A read that is too short for its UMI fails and stays as it is. The position of an adapter is counted in the read as
+    the steps before left it. Columns that reads have beyond sequence, quality and header pass through.
+    """
+    names = [x for x in reads.columns if x not in FLAGS]
+    kinds = {**dict(reads.dtypes), **FLAGS}
+    adapters = [a.upper().encode() for a in c.adapters]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in B.pieces(batches):
+            own = B.Reads(part.column("sequence"), part.column("quality"))
+            if c.umi_length:
+                own.umi(c.umi_length)
+            own.quality_steps(c)
+            if c.adapter_trimming:
+                own.cut_at(own.adapters(adapters, c.min_match))
+            own.last_steps(c)
+            made = own.columns(part.column("header") if c.umi_length else None)
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else part.column(n) for n in (*names, *FLAGS)], [*names, *FLAGS])
+
+    return reads.select(*names).mapInArrow(run, ", ".join(f"`{n}` {kinds[n]}" for n in (*names, *FLAGS)))
+
+
+def counters(k: str = "") -> list[tuple[str, Column]]:
+    """(name, aggregate) of every counter of trimmed reads, whose columns end with ``k``; bases of reads that fail count too."""
+    col = lambda c: F.col(f"{c}{k}")
+    n = F.length(col("sequence")).cast("long")
+    count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0).cast("long"))
+    return [
+        ("total_reads", F.count("*")), ("passed_reads", count(col("passed"))), ("discarded_reads", count(~col("passed"))),
+        ("bases_before", count(col("original_length"))), ("bases_after", count(n)), ("bases_trimmed", count(col("original_length") - n)),
+        ("quality_trimmed_reads", count(col("quality_trimmed"))), ("adapter_trimmed_reads", count(col("adapter_position").isNotNull())),
+        ("poly_g_trimmed_reads", count(col("poly_g_trimmed"))), ("poly_x_trimmed_reads", count(col("poly_x_trimmed"))),
+        ("too_short_reads", count(F.coalesce(col("failed") == "TOO_SHORT", F.lit(False)))), ("corrected_reads", count(col("corrected_bases") > 0)), ("corrected_bases", count(col("corrected_bases"))),
+        ("umi_processed_reads", count(col("umi").isNotNull())), ("umi_failed_reads", count(F.coalesce(col("failed") == "UMI_TOO_SHORT", F.lit(False)))), ("umi_bases", count(F.coalesce(F.length(col("umi")), F.lit(0)))),
+    ]
 
 
 def trim_statistics(trimmed: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Counters over reads; bases of reads that fail count too."""
-    n = F.length("sequence").cast("long")
-    count = lambda x: F.coalesce(F.sum(x.cast("long")), F.lit(0).cast("long"))
-    return trimmed.groupBy(*keys).agg(
-        F.count("*").alias("total_reads"), count(F.col("passed")).alias("passed_reads"), count(~F.col("passed")).alias("discarded_reads"),
-        count(F.col("original_length")).alias("bases_before"), count(n).alias("bases_after"), count(F.col("original_length") - n).alias("bases_trimmed"),
-        count(F.col("quality_trimmed")).alias("quality_trimmed_reads"), count(F.col("adapter_position").isNotNull()).alias("adapter_trimmed_reads"),
-        count(F.col("poly_g_trimmed")).alias("poly_g_trimmed_reads"), count(F.col("poly_x_trimmed")).alias("poly_x_trimmed_reads"),
-        count(F.coalesce(F.col("failed") == "TOO_SHORT", F.lit(False))).alias("too_short_reads"), count(F.col("corrected_bases") > 0).alias("corrected_reads"), count(F.col("corrected_bases")).alias("corrected_bases"),
-        count(F.col("umi").isNotNull()).alias("umi_processed_reads"), count(F.coalesce(F.col("failed") == "UMI_TOO_SHORT", F.lit(False))).alias("umi_failed_reads"), count(F.coalesce(F.length("umi"), F.lit(0))).alias("umi_bases"),
-    )
+    return trimmed.groupBy(*keys).agg(*[x.alias(name) for name, x in counters()])
 
 
 def adapter_positions(trimmed: DataFrame) -> DataFrame:

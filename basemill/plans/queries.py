@@ -161,20 +161,21 @@ reads_query("overrepresented", MORE + _DUP + "SELECT read, key50 AS sequence, n
 _OUT = ("record_number", "sequence", "quality")
 
 
-def _step(f, *more: str):
-    return lambda d: f(T.start(d)).select(*_OUT, *more)
+def _step(*more: str, **own):
+    """A trimming with the options ``own`` alone."""
+    return lambda d: T.trim_reads(d, T.TrimConfig(**own)).select(*_OUT, *more)
 
 
 reads_query("umi_extract", WITH + "SELECT record_number, CASE WHEN length(sequence) >= 8 THEN concat(header, ' UMI:', substr(sequence, 1, 8)) ELSE header END AS header, CASE WHEN length(sequence) >= 8 THEN substr(sequence, 9) ELSE sequence END AS sequence, CASE WHEN length(sequence) >= 8 THEN substr(quality, 9) ELSE quality END AS quality, CASE WHEN length(sequence) < 8 THEN 'UMI_TOO_SHORT' END AS failed FROM reads")(
-    _step(lambda d: T.extract_umi(d, 8), "header", "failed")
+    _step("header", "failed", umi_length=8)
 )
-reads_query("trim_fixed", WITH + "SELECT record_number, substr(sequence, 4, greatest(0, length(sequence) - 5)) AS sequence, substr(quality, 4, greatest(0, length(sequence) - 5)) AS quality FROM reads")(_step(lambda d: T.trim_fixed(d, 3, 2)))
+reads_query("trim_fixed", WITH + "SELECT record_number, substr(sequence, 4, greatest(0, length(sequence) - 5)) AS sequence, substr(quality, 4, greatest(0, length(sequence) - 5)) AS quality FROM reads")(_step(front=3, tail=2))
 _CF = "length(regexp_replace(quality, '^[\\x21-\\x34]+', ''))"
 _CT = "length(regexp_replace(quality, '[\\x21-\\x34]+$', ''))"
-reads_query("cut_front", WITH + f"SELECT record_number, substr(sequence, length(sequence) - {_CF} + 1) AS sequence, substr(quality, length(sequence) - {_CF} + 1) AS quality, {_CF} < length(sequence) AS quality_trimmed FROM reads")(_step(lambda d: T.cut_front(d, 20), "quality_trimmed"))
-reads_query("cut_tail", WITH + f"SELECT record_number, substr(sequence, 1, {_CT}) AS sequence, substr(quality, 1, {_CT}) AS quality, {_CT} < length(sequence) AS quality_trimmed FROM reads")(_step(lambda d: T.cut_tail(d, 20), "quality_trimmed"))
+reads_query("cut_front", WITH + f"SELECT record_number, substr(sequence, length(sequence) - {_CF} + 1) AS sequence, substr(quality, length(sequence) - {_CF} + 1) AS quality, {_CF} < length(sequence) AS quality_trimmed FROM reads")(_step("quality_trimmed", cut_front=True))
+reads_query("cut_tail", WITH + f"SELECT record_number, substr(sequence, 1, {_CT}) AS sequence, substr(quality, 1, {_CT}) AS quality, {_CT} < length(sequence) AS quality_trimmed FROM reads")(_step("quality_trimmed", cut_tail=True))
 _CR = "coalesce(list_min(list_filter(range(0, length(quality) - 3), lambda i: ascii(quality[i + 1]) + ascii(quality[i + 2]) + ascii(quality[i + 3]) + ascii(quality[i + 4]) - 132 < 80)), length(sequence))"
-reads_query("cut_right", WITH + f"SELECT record_number, substr(sequence, 1, c) AS sequence, substr(quality, 1, c) AS quality, c < length(sequence) AS quality_trimmed FROM (SELECT *, {_CR} AS c FROM reads)")(_step(lambda d: T.cut_right(d, 20, 4), "quality_trimmed"))
+reads_query("cut_right", WITH + f"SELECT record_number, substr(sequence, 1, c) AS sequence, substr(quality, 1, c) AS quality, c < length(sequence) AS quality_trimmed FROM (SELECT *, {_CR} AS c FROM reads)")(_step("quality_trimmed", cut_right=True))
 
 
 def _adapter_cte(source: str, target: str, key: str = "record_number", sequence: str = "sequence") -> str:
@@ -185,13 +186,13 @@ def _adapter_cte(source: str, target: str, key: str = "record_number", sequence:
 
 
 reads_query("adapter_trim", MORE + _adapter_cte("reads", "f") + " SELECT record_number, substr(sequence, 1, coalesce(cut, length(sequence))) AS sequence, substr(quality, 1, coalesce(cut, length(sequence))) AS quality, cut::INT AS adapter_position FROM reads LEFT JOIN f USING (record_number)")(
-    _step(lambda d: T.trim_adapters(d, tuple(s for _, s in A.STANDARD)), "adapter_position")
+    _step("adapter_position", adapter_trimming=True)
 )
 _PG = "length(sequence) - length(regexp_replace(sequence, '[Gg]+$', ''))"
 _PX = "length(regexp_extract(upper(sequence), '(A+|C+|G+|T+)$', 1))"
-for _name, _tail, _flag, _f in (("polyg_trim", _PG, "poly_g_trimmed", T.trim_poly_g), ("polyx_trim", _PX, "poly_x_trimmed", T.trim_poly_x)):
-    reads_query(_name, WITH + f"SELECT record_number, substr(sequence, 1, length(sequence) - c) AS sequence, substr(quality, 1, length(sequence) - c) AS quality, c > 0 AS {_flag} FROM (SELECT *, CASE WHEN {_tail} >= 6 THEN {_tail} ELSE 0 END AS c FROM reads)")(_step(lambda d, f=_f: f(d, 6), _flag))
-reads_query("min_length_filter", WITH + "SELECT record_number, sequence, quality FROM reads WHERE length(sequence) >= 40")(lambda d: T.length_filter(T.start(d), 40).where("passed").select(*_OUT))
+for _name, _tail, _flag, _f in (("polyg_trim", _PG, "poly_g_trimmed", "poly_g"), ("polyx_trim", _PX, "poly_x_trimmed", "poly_x")):
+    reads_query(_name, WITH + f"SELECT record_number, substr(sequence, 1, length(sequence) - c) AS sequence, substr(quality, 1, length(sequence) - c) AS quality, c > 0 AS {_flag} FROM (SELECT *, CASE WHEN {_tail} >= 6 THEN {_tail} ELSE 0 END AS c FROM reads)")(_step(_flag, **{_f: 6}))
+reads_query("min_length_filter", WITH + "SELECT record_number, sequence, quality FROM reads WHERE length(sequence) >= 40")(lambda d: T.trim_reads(d, T.TrimConfig(min_length=40)).where("passed").select(*_OUT))
 
 SE = T.TrimConfig(umi_length=4, front=2, tail=1, cut_front=True, cut_tail=True, cut_right=True, quality=15, window=4, adapter_trimming=True, poly_g=8, poly_x=8, min_length=20)
 _B = "[\\x21-\\x2f]+"

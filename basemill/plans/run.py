@@ -26,6 +26,7 @@ from ..operators import rules as R
 from ..operators import trimming as T
 from ..operators import validation as V
 from ..sources import fastq, tables
+from ..sources.shared import written
 
 
 def six(x) -> str:
@@ -37,17 +38,17 @@ def fixed(n: int) -> Callable:
     return lambda x: f"{x:.{n}f}"
 
 
-#: File name, header, columns with their format, of each distribution.
-METRICS: dict[str, tuple[Callable[[DataFrame], DataFrame], list[str], list[tuple[str, Callable]], list[str]]] = {
-    "per_cycle": (lambda d: M.quality_by_group(M.quality_by_position(M.quality_histogram(d))).withColumn("cycle", F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))),
+#: File name, header, columns with their format, of each distribution; made of the profile and the duplication counts.
+METRICS: dict[str, tuple[Callable[[DataFrame, DataFrame], DataFrame], list[str], list[tuple[str, Callable]], list[str]]] = {
+    "per_cycle": (lambda d, _: M.quality_by_group(M.quality_by_position(M.quality_histogram(d))).withColumn("cycle", F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))),
                   ["cycle", "mean_quality", "lower_quartile", "median"], [("cycle", str), ("mean_quality", six), ("lower_quartile", six), ("median", six)], ["first"]),
-    "per_sequence_quality": (M.read_quality, ["mean_quality", "read_count", "read_count_truncate"], [("mean_quality", str), ("read_count", str), ("read_count_truncate", str)], ["mean_quality"]),
-    "per_base_sequence_content": (M.base_content, ["position", "A", "C", "G", "T", "N"], [("position", str), *[(f"{b}_percent", six) for b in "acgtn"]], ["position"]),
-    "per_base_n_content": (M.base_content, ["position", "N_percent"], [("position", str), ("n_percent", fixed(4))], ["position"]),
-    "per_sequence_gc_content": (M.gc_distribution, ["gc_percent", "raw_read_count", "fastqc_observed_count"], [("bin", str), ("reads", str), ("observed", six)], ["bin"]),
-    "sequence_length_distribution": (M.length_distribution, ["length", "reads"], [("length", str), ("reads", str)], ["length"]),
-    "sequence_duplication_levels": (lambda d: M.duplication_levels(M.duplication_counts(d)), ["duplication_level", "total_sequences_percent", "deduplicated_sequences_percent"], [("duplication_level", str), ("total_percent", fixed(10)), ("deduplicated_percent", fixed(10))], ["level_index"]),
-    "overrepresented_sequences": (lambda d: M.overrepresented(M.duplication_counts(d)), ["sequence", "count", "percentage"], [("sequence", str), ("reads", str), ("percent", fixed(10))], ["-reads", "sequence"]),
+    "per_sequence_quality": (lambda d, _: M.read_quality(d), ["mean_quality", "read_count", "read_count_truncate"], [("mean_quality", str), ("read_count", str), ("read_count_truncate", str)], ["mean_quality"]),
+    "per_base_sequence_content": (lambda d, _: M.base_content(d), ["position", "A", "C", "G", "T", "N"], [("position", str), *[(f"{b}_percent", six) for b in "acgtn"]], ["position"]),
+    "per_base_n_content": (lambda d, _: M.base_content(d), ["position", "N_percent"], [("position", str), ("n_percent", fixed(4))], ["position"]),
+    "per_sequence_gc_content": (lambda d, _: M.gc_distribution(d), ["gc_percent", "raw_read_count", "fastqc_observed_count"], [("bin", str), ("reads", str), ("observed", six)], ["bin"]),
+    "sequence_length_distribution": (lambda d, _: M.length_distribution(d), ["length", "reads"], [("length", str), ("reads", str)], ["length"]),
+    "sequence_duplication_levels": (lambda _, c: M.duplication_levels(c), ["duplication_level", "total_sequences_percent", "deduplicated_sequences_percent"], [("duplication_level", str), ("total_percent", fixed(10)), ("deduplicated_percent", fixed(10))], ["level_index"]),
+    "overrepresented_sequences": (lambda _, c: M.overrepresented(c), ["sequence", "count", "percentage"], [("sequence", str), ("reads", str), ("percent", fixed(10))], ["-reads", "sequence"]),
 }
 
 
@@ -63,20 +64,21 @@ def write_metrics(reads: DataFrame, folder: str, sample: str, read: str, source:
     """The metric tables of one read direction. The duplication summary comes last; a marker stands until then."""
     os.makedirs(folder, exist_ok=True)
     own = reads.where(F.col("read") == read)
+    profile, counts = M.profile(own), written(M.duplication_counts(own), "duplication")
     marker = f"{folder}/.{sample}_{read}_duplication.incomplete"
     open(marker, "w").close()
     for name, (metric, header, columns, order) in METRICS.items():
-        rows = [r.asDict() for r in metric(own).collect()]
+        rows = [r.asDict() for r in metric(profile, counts).collect()]
         rows.sort(key=lambda r: [-r[c[1:]] if c[0] == "-" else r[c] for c in order])
         write_atomically(f"{folder}/{name}_{sample}_{read}.tsv", "\n".join(["\t".join(header), *["\t".join(f(r[c]) for c, f in columns) for r in rows], ""]))
     names = [n for n, _ in A.for_read(read)]
     content: dict[int, dict[str, float]] = {}
-    for r in M.adapter_content(own).collect():
+    for r in M.adapter_content(profile).collect():
         content.setdefault(r["position"], {})[r["adapter"]] = r["percent"]
     write_atomically(f"{folder}/adapter_content_{sample}_{read}.tsv", "\n".join(["\t".join(["pos", *names]), *["\t".join([str(p), *[f"{content[p][n]:.4f}" for n in names]]) for p in sorted(content)], ""]))
-    basic = M.basic_statistics(own).first()
+    basic = M.basic_statistics(profile).first()
     write_atomically(f"{folder}/{sample}_{read}_summary.txt", "".join(f"{k}: {v:.2f}\n" if isinstance(v, float) else f"{k}: {v}\n" for k, v in (basic.asDict() if basic else {}).items()))
-    s = M.duplication_summary(M.duplication_counts(own)).first()
+    s = M.duplication_summary(counts).first()
     total, unique, left = (s["total_reads"], s["unique_sequences"], 100 * s["unique_sequences"] / s["total_reads"]) if s else (0, 0, 100.0)
     row = ["native_fastq", "exact-prefix-v1", "".join("_" if c in "\t\n\r" else c for c in os.path.basename(source)), "50", str(total), str(unique), f"{left:.10f}"]
     write_atomically(f"{folder}/sequence_duplication_summary_{sample}_{read}.tsv", "source_kind\talgorithm\tsource_fastq\tprefix_length\ttotal_reads\tunique_sequences\tdeduplicated_remaining_percent\n" + "\t".join(row) + "\n")
