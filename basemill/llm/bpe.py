@@ -1,12 +1,19 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries, one database per partition.
 
 Texts are cut into pieces, pieces into matches of the tokenizer's pattern, and the distinct matches that are no token
-themselves are encoded together: their rows (word, position, token) join the table of mergeable pairs, each word's
-leftmost pair of minimum rank is contracted, and that is repeated until no pair is left. Decoding joins the ids of the
-texts with the vocabulary and aggregates the bytes in order.
+themselves are encoded together: rows (word, position, token) join the table of mergeable pairs, each word's leftmost
+pair of minimum rank is contracted, and that is repeated until no pair is left. Decoding joins rows (text, position, id)
+with the vocabulary and aggregates the bytes of every text in order.
+
+A round contracts one pair of a word, so a match is contracted in segments of bounded length, and costs its length.
+Segments overlap; they are joined at a boundary of tokens that both have. In a vocabulary whose tokens all encode to
+themselves (as trained ones do; tests check the public one) a sequence of tokens is the encoding of its bytes if and
+only if every two neighbours are the encoding of theirs. So a joint is right if the tokens on both sides of it, encoded
+together, stay as they are, and only such joints are made; where none is found the segment grows.
 
 Vocabulary and pattern come as a path and a string. Each worker builds its tables from the file; what it remembers of
-words seen is bounded (``REMEMBERED``), and forgetting costs time only.
+words seen is bounded (``REMEMBERED``), and forgetting costs time only. The databases are in memory and never spill to a
+folder: batches are bounded by their bytes, and long texts are decoded in parts.
 
 Defined results: null text is empty; an empty text has no ids and decodes to nothing; repeated texts get equal ids; an
 id outside the vocabulary is an error; an empty table gives an empty table; other columns are ignored.
@@ -26,25 +33,29 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import bounded, slices
 
 #: Pieces remembered with their ids, at most; beyond that all are forgotten.
 REMEMBERED = 600_000
-#: Rows of a batch.
-ROWS = 384
+#: Rows and bytes of text of a batch, rows of a word table, tokens decoded at once.
+ROWS, BYTES, WORD_ROWS, TOKENS = 384, 2_000_000, 1_000_000, 500_000
+#: Bytes by which segments of a long match follow each other, and bytes by which each reaches into the next.
+SEGMENT, OVERLAP = 64, 48
 #: White space as Unicode has it; the pattern's \s is read so.
 UNICODE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-#: From pending(w, toks): one contraction of each word in each step; a word's row is replaced until no pair is left.
+#: From pending(w, pos, tok): in each round the words that have a pair left, contracted once, with positions closed up.
+#: A word's encoding are its rows of its last round.
 CONTRACT = """
-WITH RECURSIVE step(w, toks) USING KEY (w) AS (
-  SELECT w, toks FROM pending
-  UNION
-  (WITH pairs AS (SELECT w, unnest(toks[:-2]) AS a, unnest(toks[2:]) AS b, unnest(range(1, len(toks))) AS pos FROM step),
-   best AS (SELECT w, min(m.rank * 1048576 + pos) AS k FROM pairs JOIN merges m ON m.pair = a::BIGINT * 65536 + b GROUP BY w)
-   SELECT step.w, toks[:(k % 1048576) - 1] || [(k // 1048576)::INTEGER] || toks[(k % 1048576) + 2:]
-   FROM step JOIN best ON step.w = best.w))
-SELECT w, array_to_string(toks, ' ') AS ids FROM step
+WITH RECURSIVE step(w, round, pos, tok) AS (
+  SELECT w, 0, pos, tok FROM pending
+  UNION ALL
+  (WITH best AS (
+     SELECT a.w, min(m.rank * 4294967296 + a.pos) AS k
+     FROM step a JOIN step b ON a.w = b.w AND b.pos = a.pos + 1 JOIN merges m ON m.pair = a.tok * 4294967296 + b.tok GROUP BY a.w)
+   SELECT w, round + 1, CASE WHEN pos > k % 4294967296 THEN pos - 1 ELSE pos END, CASE WHEN pos = k % 4294967296 THEN k // 4294967296 ELSE tok END
+   FROM step JOIN best USING (w) WHERE pos <> k % 4294967296 + 1))
+SELECT w, list(tok ORDER BY pos) AS ids FROM (SELECT w, max(round) AS round FROM step GROUP BY w) JOIN step USING (w, round) GROUP BY w
 """
 #: From incoming(t, ids): rows (text, position, id) join the vocabulary and are aggregated in order.
 EXPAND = """
@@ -78,20 +89,22 @@ class Codec:
                 ranks[base64.b64decode(token)] = int(rank)
         self.ranks = ranks
         self.pattern = regex.compile(pattern.replace(r"\S", f"[^{UNICODE_SPACE}]").replace(r"[^\s", f"[^{UNICODE_SPACE}").replace(r"\s", f"[{UNICODE_SPACE}]"))
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.token = {rank: token for token, rank in ranks.items()}
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         pairs, merged = [], []
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 if (a := ranks.get(token[:cut])) is not None and (b := ranks.get(token[cut:])) is not None:
-                    pairs.append(a * 65536 + b)
+                    pairs.append(a << 32 | b)
                     merged.append(rank)
         self._table("merges", pair=pa.array(pairs, pa.int64()), rank=pa.array(merged, pa.int64()))
         self._table("vocabulary", id=pa.array(list(ranks.values()), pa.int32()), shown=pa.array([t.hex() for t in ranks], pa.string()))
+        #: Ids of pieces, of matches, and of segments and joints of long matches.
         self.known: dict[str, str] = {}
         self.words: dict[str, str] = {}
-        self.shown: dict[str, bytes] = {}
+        self.parts: dict[bytes, list[int]] = {}
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         rows = pa.table(columns)
@@ -99,22 +112,107 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
+    def contract(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of distinct words, by the recursive query alone."""
+        found: list[list[int]] = []
+        lengths = np.array([len(w) for w in words], np.int64)
+        # the rows of a word over all rounds are less than the square of its length
+        group = np.cumsum(np.minimum(lengths * lengths, WORD_ROWS * 8) + 1) // (WORD_ROWS * 8)
+        for some in np.split(np.arange(len(words)), np.flatnonzero(np.diff(group)) + 1):
+            n = lengths[some]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            tok = self.single[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
+            self._table("pending", w=pa.array(np.repeat(np.arange(len(some)), n)), pos=pa.array(place), tok=pa.array(tok))
+            rows = self.db.sql(CONTRACT).to_arrow_table()
+            made: list[list[int]] = [[]] * len(some)
+            for w, ids in zip(rows.column("w").to_pylist(), rows.column("ids").to_pylist(), strict=True):
+                made[w] = ids
+            found += made
+        return found
+
+    def learn(self, parts: set[bytes]) -> None:
+        """Encodes the segments and joints that aren't known yet."""
+        new = sorted(parts - self.parts.keys())
+        if new:
+            self.parts.update(zip(new, self.contract(new), strict=True))
+
     def encode_words(self, words: list[bytes]) -> list[str]:
-        """The decimal ids of words, each encoded by itself: the fixpoint of the contractions."""
+        """The decimal ids of words, each encoded by itself."""
         ranks = self.ranks
         found = [str(ranks[w]) if w in ranks else "" for w in words]
         pending = [i for i, x in enumerate(found) if not x and words[i]]
-        if pending:
-            long = [words[i] for i in pending]
-            ends = np.zeros(len(long) + 1, np.int32)
-            np.cumsum([len(w) for w in long], out=ends[1:])
-            toks = pa.ListArray.from_arrays(pa.array(ends), pa.array(self.single[np.frombuffer(b"".join(long), np.uint8)]))
-            self._table("pending", w=pa.array(pending, pa.int32()), toks=toks)
-            rows = self.db.sql(CONTRACT).to_arrow_table()
-            for i, ids in zip(rows.column("w").to_pylist(), rows.column("ids").to_pylist(), strict=True):
-                found[i] = ids
+        short = [i for i in pending if len(words[i]) <= SEGMENT + OVERLAP]
+        if short:
+            for i, ids in zip(short, self.contract([words[i] for i in short]), strict=True):
+                found[i] = " ".join(map(str, ids))
+        long = [i for i in pending if len(words[i]) > SEGMENT + OVERLAP]
+        if long:
+            if len(self.parts) > REMEMBERED:
+                self.parts.clear()
+            for i in long:
+                found[i] = " ".join(map(str, self.encode_long(words[i])))
         return found
 
+    def _fits(self, left: int, right: int) -> bool:
+        """True if two tokens encoded together stay as they are."""
+        both = self.token[left] + self.token[right]
+        self.learn({both})
+        return self.parts[both] == [left, right]
+
+    def encode_long(self, word: bytes) -> list[int]:
+        """The ids of a long match, from segments joined where their tokens fit."""
+        wide, token = SEGMENT + OVERLAP, self.token
+        self.learn({word[p : p + wide] for p in range(0, len(word), SEGMENT)})
+
+        def ends(at: int, ids: list[int]) -> list[int]:
+            out = []
+            for x in ids:
+                at += len(token[x])
+                out.append(at)
+            return out
+
+        # the joints that are tried first, for all segments at once
+        places = [ends(p, self.parts[word[p : p + wide]]) for p in range(0, len(word), SEGMENT)]
+        joints = set()
+        for k in range(len(places) - 1):
+            own, other = self.parts[word[k * SEGMENT : k * SEGMENT + wide]], self.parts[word[(k + 1) * SEGMENT : (k + 1) * SEGMENT + wide]]
+            where = {e: i for i, e in enumerate(places[k + 1])}
+            for i, e in enumerate(places[k]):
+                if e in where and where[e] + 1 < len(other):
+                    joints.add(token[own[i]] + token[other[where[e] + 1]])
+        self.learn(joints)
+
+        done: list[int] = []
+        begin, stop = 0, min(wide, len(word))  # of the segment that is being joined to the next
+        ids = self.parts[word[:wide]]
+        while stop < len(word):
+            own = ends(begin, ids)
+            start = next_grid = (begin // SEGMENT + 1) * SEGMENT
+            joined = None
+            while joined is None and start < stop:  # segments of the grid that begin within this one
+                other = self.parts[word[start : start + wide]]
+                where = {e: i for i, e in enumerate(ends(start, other))}
+                for i in range(len(own) - 1, -1, -1):
+                    e = own[i]
+                    if e in where and where[e] + 1 < len(other) and self._fits(ids[i], other[where[e] + 1]):
+                        joined = i, e, start + wide, other[where[e] + 1 :]
+                        break
+                start += SEGMENT
+            for i in range(len(own) - 2, -1, -1) if joined is None else ():  # segments that begin at one's own boundaries
+                self.learn({word[own[i] : own[i] + wide]})
+                other = self.parts[word[own[i] : own[i] + wide]]
+                if own[i] + wide > stop and self._fits(ids[i], other[0]):
+                    joined = i, own[i], own[i] + wide, other
+                    break
+            if joined is None:  # grow
+                stop = min(len(word), begin + 2 * (stop - begin))
+                ids = self.contract([word[begin:stop]])[0]
+                continue
+            i, begin, stop, rest = joined
+            done += ids[: i + 1]
+            ids, stop = rest, min(stop, len(word))
+        return done + ids
+
     def pieces(self, text: str) -> list[str]:
         """Cuts where no match of the pattern reaches across, so that most pieces are single words.
 
@@ -149,32 +247,28 @@ class Codec:
             known[piece] = " ".join([words[m] for m in ms])
         return [[known[p] for p in ps if p] for ps in cut]
 
-    def decode_runs(self, runs: list[list[str]]) -> list[bytes]:
-        """The bytes of each text from its runs of ids; a run is decoded once and remembered."""
-        if len(self.shown) > REMEMBERED:
-            self.shown.clear()
-        shown = self.shown
-        new = list({r for rs in runs for r in rs if r not in shown})
-        if new:
-            shown.update(zip(new, self.decode(id_lists(pa.array(new, pa.string()))), strict=True))
-        return [b"".join([shown[r] for r in rs]) for rs in runs]
-
     def forget(self) -> None:
         """Gives back the memory of what is remembered."""
         self.known.clear()
         self.words.clear()
-        self.shown.clear()
+        self.parts.clear()
 
     def decode(self, ids: pa.Array) -> list[bytes]:
-        """The bytes that lists of ids stand for."""
-        self.db.register("incoming", pa.table({"t": pa.array(range(len(ids)), pa.int32()), "ids": ids}))
-        found = self.db.sql(EXPAND).to_arrow_table()
-        self.db.unregister("incoming")
-        if not pc.all(found.column("known")).as_py() and len(found):
-            raise ValueError("an id is not in the vocabulary")
+        """The bytes that lists of ids stand for; long lists are cut, and their parts put together in order."""
         made = [b""] * len(ids)
-        for t, shown in zip(found.column("t").to_pylist(), found.column("shown").to_pylist(), strict=True):
-            made[t] = shown
+        n = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+        group = np.cumsum(n) // TOKENS
+        for some in np.split(np.arange(len(ids)), np.flatnonzero(np.diff(group)) + 1) if len(ids) else ():
+            first, last = int(some[0]), int(some[-1]) + 1
+            for at in range(0, max(1, int(n[some].max())), TOKENS):
+                part = ids.slice(first, last - first) if n[some].max() <= TOKENS else pc.list_slice(ids.slice(first, last - first), at, at + TOKENS)
+                self.db.register("incoming", pa.table({"t": pa.array(range(first, last), pa.int32()), "ids": part}))
+                found = self.db.sql(EXPAND).to_arrow_table()
+                self.db.unregister("incoming")
+                if len(found) and not pc.all(found.column("known")).as_py():
+                    raise ValueError("an id is not in the vocabulary")
+                for t, shown in zip(found.column("t").to_pylist(), found.column("shown").to_pylist(), strict=True):
+                    made[t] += shown
         return made
 
 
@@ -203,12 +297,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path, pattern)
-        for part in slices(batches, ROWS):
+        for part in bounded(batches, ROWS, BYTES):
             texts = [x or "" for x in part.column("text").to_pylist()]
-            runs = made.encode(texts)
-            if any(x != text.encode() for x, text in zip(made.decode_runs(runs), texts, strict=True)):
+            ids = id_lists(pa.array([" ".join(x) for x in made.encode(texts)], pa.string()))
+            if any(x != text.encode() for x, text in zip(made.decode(ids), texts, strict=True)):
                 raise ValueError("ids don't decode to their text")
-            ids = id_lists(pa.array([" ".join(x) for x in runs], pa.string()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pc.list_value_length(ids).cast(pa.int64()), ids], [*keep, "n_tokens", "ids"])
         made.forget()  # workers are used again by other operators
 
@@ -236,11 +329,11 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(path, pattern)
-        for part in slices(batches, ROWS):
-            runs = made.encode([x or "" for x in part.column("text").to_pylist()])
-            ids = [" ".join(x) for x in runs]
+        for part in bounded(batches, ROWS, BYTES):
+            ids = [" ".join(x) for x in made.encode([x or "" for x in part.column("text").to_pylist()])]
+            decoded = made.decode(id_lists(pa.array(ids, pa.string())))
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([n_ids(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in made.decode_runs(runs)], pa.string())],
+                [part.column("doc_id"), pa.array([n_ids(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

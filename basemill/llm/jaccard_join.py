@@ -5,16 +5,20 @@ similarity is 0.75 or more, that is when their Jaccard distance, a metric, is 0.
 document's component: the smallest id that it reaches by links.
 
 1. Equal sets are one point; from here on a point stands for all its copies.
-2. Coarse regions. Under any total order of shingles, two linked sets share one of the first |x| - ceil(0.75 |x|) + 1
-   shingles of each. Points that share enough of these (see ``coarse_links``) are joined; a connected group of them is a
-   coarse region, and no link leaves it. The order puts frequent shingles last, by a sketch of counts over all documents;
-   the sketch only decides how large regions get, never which links are found.
-3. Regions of up to ``LIMIT`` points are joined whole in one task.
-4. Larger ones are split by pivots. Each point belongs to its nearest pivot. Points within 0.25 of a pivot are linked to
-   it, and so with each other: a cell whose points all hang together needs no join with itself. A point visits the cell
-   of an earlier pivot p if its distance to p is at most the cell's radius plus 0.25: by the triangle inequality no
-   link is lost. Points far from all pivots are a cell of their own. Cells are regions again, and so on.
-5. Where splitting doesn't help any more, a region is joined in blocks: every pair of blocks meets in one task.
+2. First regions: every shingle is a pivot, and a point is near to those pivots that are its own shingles, and at distance
+   1 of all others. Under any total order of shingles two linked sets share one of the first |x| - ceil(0.75 |x|) + 1
+   shingles of each, so a point is replicated to the pivots of that prefix and no link is lost. Points that meet often
+   enough there (see ``coarse_links``) hang together; a connected group of them is a region, and no link leaves it. The
+   order puts frequent shingles last, by a sketch of counts over all documents; the sketch only decides how large regions
+   get, never which links are found. (Documents as pivots for all documents can't start: nearly all pairs are at distance
+   1, and every window would hold everything. The README has figures.)
+3. Every region is joined by pivots from among its points, recursively (``PivotJoin``). Each point belongs to its nearest
+   pivot. Points within 0.25 of a pivot are linked to it. A point visits the cell of an earlier pivot if its distance to
+   that pivot is at most the cell's radius plus 0.25: by the triangle inequality no link is lost. Points far from all
+   pivots are a cell of their own. A cell with its visitors that hangs together already is done, others are regions again.
+   Of the pairs in the smallest cells only those are compared whose distances to all pivots differ by 0.25 at most.
+4. Regions too large for one task are split the same way over many tasks (``split_regions``), until their cells fit.
+   A region that pivots don't thin out is joined in blocks: every pair of blocks meets in one task.
 
 Defined results: texts without words have no shingles and link with nothing; texts of fewer than five words have one
 shingle, the whole sequence; rows that share an id are joined by their texts, each row with its own component; null ids
@@ -29,10 +33,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, near, slices, utf8
+from .common import Scratch, near, slices, utf8
 from .components import components
 
 WORDS = 5
@@ -41,9 +45,10 @@ LIMIT, LIMIT_SHINGLES = 512, 2_000_000
 PIVOTS = 16
 #: Farther than this from all pivots, a point is in the cell of the far ones (number PIVOTS).
 FAR = 0.75
-DEPTH = 4
-#: Pivots of so many bytes are broadcast at a time; more are dealt with in turns.
-PIVOT_BYTES = 48_000_000
+#: Points that are compared pair by pair; and the part of a region that a cell must be below to count as thinned out.
+LEAF, THINNED = 8, 0.9
+#: Sets that share a 64-bit name and get another one, at most (chance has some hundred among 1e11).
+RENAMED = 1_000_000
 #: Points at one shingle that are paired; more are tied to one of them.
 CROWD = 64
 #: Width of the bands of sizes, as a logarithm: sizes of linked sets are in the same band or in neighbours.
@@ -97,18 +102,56 @@ def set_key(points: np.ndarray) -> tuple[int, int]:
     return _signed(xxhash.xxh3_64_intdigest(data)), _signed(xxhash.xxh64_intdigest(data, 1))
 
 
-def read_points(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(rows (id, n, fp, check) of all documents, the rank of each counter of the sketch). One pass over the texts."""
+#: New names of the sets whose name another set has, by both hashes.
+Renamed = dict[tuple[int, int], int]
+
+
+def name_of(points: np.ndarray, renamed: Renamed) -> int:
+    key = set_key(points)
+    return renamed.get(key, key[0]) if renamed else key[0]
+
+
+def rename(points: DataFrame, named: DataFrame) -> Renamed:
+    """Names for all but one of the sets that share one. ``named``: fp, least and greatest check."""
+    shared = named.where("c <> d").select("fp")
+    found = points.join(shared, "fp").select("fp", "check").distinct().limit(RENAMED + 1).collect()
+    if len(found) > RENAMED:
+        raise RuntimeError("too many sets share a name")
+    checks: dict[int, list[int]] = {}
+    for r in found:
+        checks.setdefault(r["fp"], []).append(r["check"])
+    todo, made, turn = [(fp, c) for fp, cs in checks.items() for c in sorted(cs)[1:]], {}, 0
+    while todo:
+        turn += 1
+        new = {key: _signed(xxhash.xxh64_intdigest(b"%d %d" % key, turn)) for key in todo}
+        spark = points.sparkSession
+        used = {r["fp"] for r in named.join(F.broadcast(spark.createDataFrame([(x,) for x in new.values()], "fp long")), "fp").select("fp").collect()} | set(made.values())
+        taken: set[int] = set()
+        for key, x in new.items():
+            if x not in used and x not in taken:
+                made[key] = x
+                taken.add(x)
+        todo = [key for key in todo if key not in made]
+    return made
+
+
+def with_ids(docs: DataFrame) -> DataFrame:
+    """id, text and a hash of the text, which tells rows with one id apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("th"), "text")
+
+
+def read_points(docs: DataFrame, own: Scratch) -> tuple[DataFrame, np.ndarray]:
+    """(rows (id, th, n, fp, check) of all documents, the rank of each counter of the sketch). One pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, names = np.zeros(SKETCH, np.int64), ["kind", "id", "n", "fp", "check", "counts"]
+        counts, names = np.zeros(SKETCH, np.int64), ["kind", "id", "th", "n", "fp", "check", "counts"]
         held: list[np.ndarray] = []
         size = 0
         for part in slices(batches):
             sets = [shingles(x) for x in utf8(part.column("text"))]
             keys = [set_key(x) for x in sets]
             rows = len(sets)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * rows, pa.int32()), part.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.nulls(rows, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * rows, pa.int32()), part.column("id"), part.column("th"), pa.array([len(x) for x in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64()), pa.nulls(rows, pa.binary())], names)
             held += sets
             size += sum(map(len, sets))
             if size > 1_000_000:
@@ -121,7 +164,7 @@ def read_points(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             if len(some):
                 no = pa.nulls(len(some), pa.int64())
                 data = [zlib.compress(np.minimum(blocks[i], 2**31 - 1).astype(np.uint8 if blocks[i].max() < 256 else np.uint32).tobytes(), 1) for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array([1] * len(some), pa.int32()), pa.array(some, pa.int64()), no, no, no, pa.array(data, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * len(some), pa.int32()), pa.array(some, pa.int64()), no, no, no, no, pa.array(data, pa.binary())], names)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
@@ -132,13 +175,12 @@ def read_points(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 found[block] = found[block] + x if block in found else x
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([zlib.compress(x.tobytes(), 1) for x in found.values()], pa.binary())], ["id", "counts"])
 
-    read = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text").mapInArrow(run, "kind int, id long, n long, fp long, check long, counts binary")
-    table = materialize(read, "jaccard-points")
+    table = own.table(with_ids(docs).mapInArrow(run, "kind int, id long, th long, n long, fp long, check long, counts binary"), "jaccard-points")
     summed = table.where("kind = 1").select("id", "counts").repartition("id").mapInArrow(total, "id long, counts binary").toArrow()
     counts = np.zeros((SKETCH // BLOCK, BLOCK), np.int64)
     for block, data in zip(summed.column("id").to_pylist(), summed.column("counts").to_pylist(), strict=True):
         counts[block] += np.frombuffer(zlib.decompress(data), np.uint32)
-    return table.where("kind = 0").select("id", "n", "fp", "check"), ranks(counts.reshape(-1))
+    return table.where("kind = 0").select("id", "th", "n", "fp", "check"), ranks(counts.reshape(-1))
 
 
 def ranks(counts: np.ndarray) -> np.ndarray:
@@ -148,7 +190,7 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return np.where(above < 1, 0, 1 + np.log2(np.maximum(1, above))).astype(np.uint8)
 
 
-def coarse_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
+def coarse_links(docs: DataFrame, rank: np.ndarray, renamed: Renamed, own: Scratch) -> DataFrame:
     """(a, b): pairs of points that hold all links together, and more.
 
     Every point is sent to the shingles of its prefix. Points that meet at a shingle with up to ``CROWD`` of them are
@@ -165,7 +207,7 @@ def coarse_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
             hs, fps, ns = [], [], []
             for text in utf8(part.column("text")):
                 points = shingles(text)
-                fp = set_key(points)[0]
+                fp = name_of(points, renamed)
                 if not len(points) or fp in known:
                     continue
                 known.add(fp)
@@ -204,7 +246,7 @@ def coarse_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     cells = docs.select("text").mapInArrow(run, "h long, fp long, m long")
     by_h = Window.partitionBy("h")
     met = cells.withColumn("rows", F.count("*").over(by_h)).where("rows > 1").withColumn("crowd", (F.col("rows") > CROWD) | (F.max(F.col("m") % 2).over(by_h) == 1))
-    met = materialize(met.select("h", "fp", F.shiftright("m", 1).alias("n"), "crowd"), "jaccard-cells")
+    met = own.table(met.select("h", "fp", F.shiftright("m", 1).alias("n"), "crowd"), "jaccard-cells")
 
     few = met.where("not crowd").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("fp", "n"))).alias("x")).where(F.size("x") > 1)
     pairs = few.select("x", F.posexplode("x").alias("i", "p")).select("p", F.explode(F.slice("x", F.col("i") + 2, F.lit(CROWD))).alias("q"))
@@ -219,61 +261,134 @@ def coarse_links(docs: DataFrame, rank: np.ndarray) -> DataFrame:
     return kept.unionByName(tied)
 
 
-def regions_with_sets(docs: DataFrame, names: DataFrame, regions: DataFrame) -> DataFrame:
-    """(region, fp, points): the sets of the points of coarse regions, read again from one document each.
+def regions_with_sets(docs: DataFrame, names: DataFrame, regions: DataFrame, renamed: Renamed, own: Scratch) -> DataFrame:
+    """(region, fp, points): the sets of the points of first regions, read again from one document each.
 
     These points are a part of all; if they are few, the texts are filtered where they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows may repeat
         for part in slices(batches):
             sets = [shingles(x) for x in utf8(part.column("text"))]
-            right = pa.array([set_key(x)[0] == fp for x, fp in zip(sets, part.column("fp").to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([part.column("region"), part.column("fp"), pa.array([x.tobytes() for x in sets], pa.binary())], ["region", "fp", "points"]).filter(right)
-
-    wanted = materialize(names.join(regions.withColumnRenamed("node", "fp").withColumnRenamed("component", "region"), "fp").select("id", "fp", "region"), "jaccard-wanted")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("id"), "text")
-    return texts.join(near(wanted), "id").select("region", "fp", "text").mapInArrow(run, "region long, fp long, points binary")
-
-
-def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, by products of 0/1 matrices over the shingles that occur more than once."""
-    n = len(sets)
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), [len(x) for x in sets])
-    again = times[column] > 1
-    number = np.cumsum(times > 1) - 1
-    row, column = row[again], number[column[again]]
-    total = np.zeros((n, n), np.float32)
-    width = max(1, 4_000_000 // n)
-    for at in range(0, int((times > 1).sum()), width):
-        inside = (column >= at) & (column < at + width)
-        m = np.zeros((n, width), np.float32)
-        m[row[inside], column[inside] - at] = 1
-        total += m @ m.T
-    return total.astype(np.int64)
-
-
-def spanning_links(fps: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect the same points as all links between them do."""
-    if len(fps) < 2:
-        return []
-    sizes = np.array([len(x) for x in sets])
-    near = linked(overlaps(sets), sizes[:, None], sizes[None, :])
-    root = list(range(len(fps)))
-
-    def find(i: int) -> int:
+            right = []
+            for x, fp in zip(sets, part.column("fp").to_pylist(), strict=True):
+                right.append(fp not in seen and name_of(x, renamed) == fp)
+                if right[-1]:
+                    seen.add(fp)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            yield pa.RecordBatch.from_arrays([part.column("region"), part.column("fp"), pa.array([x.tobytes() for x in sets], pa.binary())], ["region", "fp", "points"]).filter(pa.array(right, pa.bool_()))
+
+    wanted = own.table(names.join(regions.withColumnRenamed("node", "fp").withColumnRenamed("component", "region"), "fp").select("id", "th", "fp", "region"), "jaccard-wanted")
+    return with_ids(docs).join(near(wanted), ["id", "th"]).select("region", "fp", "text").mapInArrow(run, "region long, fp long, points binary")
+
+
+class PivotJoin:
+    """The recursive join of one region in memory. ``links`` connect the same points as all links between them do;
+    ``pivots``, ``visits`` and ``compared`` count what was done."""
+
+    def __init__(self, fps: list[int], sets: list[np.ndarray]) -> None:
+        self.fps, self.size = fps, np.array([len(x) for x in sets], np.int64)
+        _, number, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        again = times[number] > 1  # shingles of one point alone are in no intersection
+        row = np.repeat(np.arange(len(sets)), self.size)[again]
+        self.held = np.bincount(row, minlength=len(sets))
+        self.at = np.zeros(len(sets) + 1, np.int64)
+        np.cumsum(self.held, out=self.at[1:])
+        self.shingle = number[again]
+        self.mark = np.zeros(len(times), bool)
+        self.root = np.arange(len(sets))
+        self.links: list[tuple[int, int]] = []
+        self.pivots = self.visits = self.compared = 0
+
+    def find(self, i: int) -> int:
+        root = self.root
         while root[i] != i:
             root[i] = root[root[i]]
             i = root[i]
-        return i
-
-    made = []
-    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        a, b = find(int(i)), find(int(j))
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            made.append((fps[int(i)], fps[int(j)]))
-    return made
+        return int(i)
+
+    def link(self, i: int, others: np.ndarray) -> None:
+        for j in others:
+            a, b = self.find(i), self.find(int(j))
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+                self.links.append((self.fps[i], self.fps[int(j)]))
+
+    def roots(self, rows: np.ndarray) -> np.ndarray:
+        found = self.root[rows]
+        while (found != (up := self.root[found])).any():
+            found = up
+        self.root[rows] = found
+        return found
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shingles of the points end to end, where each begins and the last ends)."""
+        n = self.held[rows]
+        at = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(n, out=at[1:])
+        return self.shingle[np.arange(at[-1]) + np.repeat(self.at[rows] - at[:-1], n)], at
+
+    def intersections(self, i: int, gathered: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Sizes of the intersections of point ``i`` with the gathered points."""
+        own = self.shingle[self.at[i] : self.at[i + 1]]
+        self.mark[own] = True
+        hits = np.append(0, np.cumsum(self.mark[gathered[0]]))
+        self.mark[own] = False
+        self.compared += len(gathered[1]) - 1
+        return hits[gathered[1][1:]] - hits[gathered[1][:-1]]
+
+    def run(self) -> PivotJoin:
+        todo = [np.arange(len(self.fps))]
+        while todo:
+            todo += self.split(todo.pop())
+        return self
+
+    def split(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Joins the points with pivots and returns the cells that are left to join."""
+        if len(rows) < 2 or (self.roots(rows) == self.roots(rows[:1])).all():
+            return []
+        gathered, size = self.gather(rows), self.size[rows]
+        apart, nearest, pivot = [], np.full(len(rows), 2.0), 0
+        while len(apart) < PIVOTS:  # the next pivot is the point farthest from those before
+            i = int(rows[pivot])
+            inter = self.intersections(i, gathered)
+            self.pivots += 1
+            self.link(i, rows[linked(inter, size, self.size[i])])
+            apart.append(1 - inter / (size + self.size[i] - inter))
+            nearest = np.minimum(nearest, apart[-1])
+            pivot = int(nearest.argmax())
+            if nearest[pivot] <= 0.25:
+                break
+        d = np.stack(apart)
+        home = np.where(nearest > FAR, len(d), d.argmin(axis=0))
+        left = []
+        for p in range(len(d) + 1):
+            inside = home == p
+            if not inside.any():
+                continue
+            visits = (home > p) & (d[p] <= nearest[inside].max() + 0.25 + EPS) if p < len(d) else np.zeros(len(rows), bool)
+            cell = np.flatnonzero(inside | visits)
+            self.visits += int(visits.sum())
+            if (self.roots(rows[cell]) == self.roots(rows[cell[:1]])).all():
+                continue
+            if len(cell) <= LEAF or len(cell) > THINNED * len(rows):
+                self.pairs(rows[cell], d[:, cell])
+            else:
+                left.append(rows[cell])
+        return left
+
+    def pairs(self, rows: np.ndarray, d: np.ndarray) -> None:
+        """Compares the pairs that the distances to the pivots and the sizes leave."""
+        size = self.size[rows]
+        for k in range(len(rows) - 1):
+            others = np.arange(k + 1, len(rows))
+            near = (np.abs(d[:, others] - d[:, k : k + 1]) <= 0.25 + EPS).all(axis=0) & (4 * np.minimum(size[others], size[k]) >= 3 * np.maximum(size[others], size[k]))
+            others = others[near]
+            others = others[self.roots(rows[others]) != self.find(int(rows[k]))]
+            if len(others):
+                inter = self.intersections(int(rows[k]), self.gather(rows[others]))
+                self.link(int(rows[k]), rows[others[linked(inter, size[others], size[k])]])
 
 
 def join_groups(rows: DataFrame) -> DataFrame:
@@ -285,16 +400,18 @@ def join_groups(rows: DataFrame) -> DataFrame:
         for part in slices(batches):
             for group, fp, data in zip(part.column("group").to_pylist(), part.column("fp").to_pylist(), part.column("points").to_pylist(), strict=True):
                 if group != own:
-                    out += spanning_links(list(held), list(held.values()))
+                    if len(held) > 1:
+                        out += PivotJoin(list(held), list(held.values())).run().links
                     own, held = group, {}
                 held[fp] = np.frombuffer(data, np.uint64)
             if out:
                 yield _links(out)
                 out = []
-        out += spanning_links(list(held), list(held.values()))
+        if len(held) > 1:
+            out += PivotJoin(list(held), list(held.values())).run().links
         yield _links(out)
 
-    return rows.select("group", "fp", "points").repartition("group").sortWithinPartitions("group").mapInArrow(run, "a long, b long")
+    return rows.select("group", "fp", "points").repartition("group").sortWithinPartitions("group", "fp").mapInArrow(run, "a long, b long")
 
 
 def _links(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
@@ -303,129 +420,124 @@ def _links(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def region_sizes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.octet_length("points") / 8).cast("long").alias("total"))
+    return rows.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.octet_length("points") / 8).cast("long").alias("total"), F.max("parent").alias("parent"))
+
 
+def _parts(times: int) -> Column:
+    """Parts of a region of which ``times`` fit into a task."""
+    return F.greatest(F.ceil(F.col("members") * times / LIMIT), F.ceil(F.col("total") * times / LIMIT_SHINGLES), F.lit(1)).cast("int")
 
-def blocks_joined(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+
+def blocks_joined(rows: DataFrame, sizes: DataFrame, own: Scratch) -> DataFrame:
     """All points of each region in blocks, every pair of blocks in a task."""
-    n = F.greatest(F.ceil(F.col("members") * 2 / LIMIT), F.ceil(F.col("total") * 2 / LIMIT_SHINGLES), F.lit(1)).cast("int")
-    own = rows.join(near(materialize(sizes.select("region", n.alias("blocks")), "jaccard-blocks")), "region").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = rows.join(near(own.table(sizes.select("region", _parts(2).alias("blocks")), "jaccard-blocks")), "region").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return join_groups(met.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "fp", "points"))
 
 
-def split_regions(rows: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Splits each region of ``rows`` (region, fp, points) by pivots: (links found, rows of the new regions)."""
-    spark = rows.sparkSession
+_MEASURED = "region long, fp long, members long, home int, near double, apart array<double>, balls int, hubs array<long>"
+
+
+def _measure(points: pa.Table, pivots: pa.Table) -> pa.Table:
+    """Distances of a part of a region to the region's pivots: cell, distances, pivots linked to (as a mask, and by name)."""
+    sets = [(p, fp, np.frombuffer(x, np.uint64)) for p, fp, x in zip(*(pivots.column(c).to_pylist() for c in ("p", "fp", "points")), strict=True)]
+    home, nearest, apart, balls, hubs = [], [], [], [], []
+    for data in points.column("points").to_pylist():
+        x = np.frombuffer(data, np.uint64)
+        d, ball, hub = [2.0] * PIVOTS, 0, []
+        for p, fp, y in sets:
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            inter = int((y[at] == x).sum())
+            d[p] = 1 - inter / (len(x) + len(y) - inter)
+            if linked(inter, len(x), len(y)):
+                ball |= 1 << p
+                hub.append(fp)
+        best = int(np.argmin(d))
+        home.append(best if d[best] <= FAR else PIVOTS), nearest.append(min(d)), apart.append(d), balls.append(ball), hubs.append(hub)
+    kinds = (("home", home, pa.int32()), ("near", nearest, pa.float64()), ("apart", apart, pa.list_(pa.float64())), ("balls", balls, pa.int32()), ("hubs", hubs, pa.list_(pa.int64())))
+    return pa.table({**{c: points.column(c) for c in ("region", "fp", "members")}, **{n: pa.array(v, k) for n, v, k in kinds}})
+
+
+def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each region the label of every pivot: pivots hang together through a point that is linked to both."""
+    for part in slices(batches):
+        made = []
+        for masks in part.column("masks").to_pylist():
+            label = list(range(PIVOTS))
+            for mask in masks:
+                own = [p for p in range(PIVOTS) if mask >> p & 1]
+                least = min(label[p] for p in own)
+                joined = {label[p] for p in own}
+                label = [least if x in joined else x for x in label]
+            made.append(label)
+        yield pa.RecordBatch.from_arrays([part.column("region"), pa.array(made, pa.list_(pa.int32()))], ["region", "labels"])
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each point goes to its own cell, and to those of earlier pivots that it can have links into."""
+    for part in slices(batches):
+        at, cell, visits = [], [], []
+        for i, (home, apart, label, cells) in enumerate(zip(*(part.column(c).to_pylist() for c in ("home", "apart", "label", "cells")), strict=True)):
+            for c in cells:
+                p = c["home"]
+                if p == home or p < home and apart[p] <= c["radius"] + 0.25 + EPS and not (label is not None and label == c["whole"]):
+                    at.append(i), cell.append(p), visits.append(p != home)
+        took = part.select(["region", "fp", "members"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell, pa.int32()), pa.array(visits, pa.bool_())], ["region", "fp", "members", "cell", "visits"])
+
+
+def split_regions(rows: DataFrame, sizes: DataFrame, depth: int, own: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Splits each region of ``rows`` (region, fp, points) by pivots: (links found, rows of the new regions).
+
+    A region's points are measured in parts of ``LIMIT``, each beside a copy of the region's pivots, so no task gets a
+    whole region and no pivot reaches the driver; what is kept of a region as a whole is a row of its cells.
+    """
+    table = own.table(sizes.select("region", "members", _parts(1).alias("parts")), "jaccard-parts")
     drawn = rows.groupBy("region", F.pmod(F.xxhash64("fp", F.lit(depth)), F.lit(PIVOTS)).cast("int").alias("p")).agg(F.min("fp").alias("fp"))
-    pivots = materialize(rows.join(materialize(drawn, "jaccard-drawn"), ["region", "fp"]).dropDuplicates(["region", "p"]).select("region", "p", "fp", "points"), "jaccard-pivots")
-    size = pivots.agg(F.coalesce(F.sum(F.octet_length("points") + 64), F.lit(0)).alias("s")).first()["s"]
-    turns = max(1, -(-int(size) // PIVOT_BYTES))
-    links, new = [], []
-    for turn in range(turns):
-        mine = F.pmod(F.xxhash64("region", F.lit("turn")), F.lit(turns)) == turn
-        found, cells = _split(spark, rows.where(mine), pivots.where(mine), depth)
-        links.append(found), new.append(cells)
-    for x in links[1:]:
-        links[0] = links[0].union(x)
-    for x in new[1:]:
-        new[0] = new[0].union(x)
-    return links[0], new[0]
-
-
-def _split(spark, rows: DataFrame, pivots: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    held: dict[int, list] = {}
-    for r in pivots.orderBy("region", "p").toLocalIterator():
-        held.setdefault(r["region"], []).append((r["p"], r["fp"], bytes(r["points"])))
-    shared = spark.sparkContext.broadcast(held)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds the distances to the region's pivots, the cell, and the first pivot that the point is linked to."""
-        sets = {r: [(p, fp, np.frombuffer(x, np.uint64)) for p, fp, x in ps] for r, ps in shared.value.items()}
-        names = ["region", "fp", "home", "near", "apart", "balls"]
-        for part in slices(batches):
-            home, near, apart, balls = [], [], [], []
-            for region, data in zip(part.column("region").to_pylist(), part.column("points").to_pylist(), strict=True):
-                x = np.frombuffer(data, np.uint64)
-                d, ball = [2.0] * PIVOTS, 0
-                for p, _, y in sets[region]:
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    inter = int((y[at] == x).sum())
-                    d[p] = 1 - inter / (len(x) + len(y) - inter)
-                    ball |= bool(linked(inter, len(x), len(y))) << p
-                best = int(np.argmin(d))
-                home.append(best if d[best] <= FAR else PIVOTS), near.append(min(d)), apart.append(d), balls.append(ball)
-            yield pa.RecordBatch.from_arrays([part.column("region"), part.column("fp"), pa.array(home, pa.int32()), pa.array(near, pa.float64()), pa.array(apart, pa.list_(pa.float64())), pa.array(balls, pa.int32())], names)
-
-    measured = materialize(rows.mapInArrow(measure, "region long, fp long, home int, near double, apart array<double>, balls int"), "jaccard-measured")
-    pivot = pivots.select("region", "p", F.col("fp").alias("pivot"))
-    in_ball = F.filter(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda p: F.col("balls").bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(PIVOTS)]), p + 1)) != 0)
-    tied = measured.where("balls <> 0").select("region", "fp", F.explode(in_ball).alias("p"))
-    links = tied.join(pivot, ["region", "p"]).select(F.col("fp").alias("a"), F.col("pivot").alias("b")).where("a <> b").distinct()
-
-    # which pivots hang together through a common point: pairs of pivots only, PIVOTS^2 a region at most
-    masks = measured.where("balls <> 0").select("region", F.explode(in_ball).alias("q"), F.array_min(in_ball).alias("p")).where("p <> q").distinct().collect()
-    label = {(r, p): p for r, ps in held.items() for p, _, _ in ps}
-
-    def find(r: int, p: int) -> int:
-        while label[r, p] != p:
-            p = label[r, p]
-        return p
-
-    for m in masks:
-        a, b = find(m["region"], m["p"]), find(m["region"], m["q"])
-        label[m["region"], max(a, b)] = min(a, b)
-    labelled = spark.createDataFrame([(r, p, find(r, p)) for r, p in label] or [(0, 0, 0)], "region long, p int, label int")
-    first = F.when(F.col("balls") != 0, F.array_min(in_ball)).otherwise(-1)
-    points = measured.withColumn("p", first).join(F.broadcast(labelled), ["region", "p"], "left").withColumn("label", F.when(F.col("p") >= 0, F.col("label"))).drop("p", "balls")
+    pivots = own.table(rows.join(own.table(drawn, "jaccard-drawn"), ["region", "fp"]).dropDuplicates(["region", "p"]).select("region", "p", "fp", "points"), "jaccard-pivots")
+    dealt_points = rows.join(near(table), "region").select("region", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int").alias("part"), "fp", "members", "points")
+    dealt_pivots = pivots.join(near(table), "region").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "p", "fp", "points")
+    measured = own.table(dealt_points.groupBy("region", "part").cogroup(dealt_pivots.groupBy("region", "part")).applyInArrow(_measure, _MEASURED), "jaccard-measured")
+    links = own.table(measured.where("balls <> 0").select(F.col("fp").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct(), "jaccard-links")
+
+    labels = own.table(measured.where("balls <> 0").groupBy("region").agg(F.collect_set("balls").alias("masks")).mapInArrow(_labels, "region long, labels array<int>"), "jaccard-labels")
+    lowest = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda p: F.col("balls").bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(PIVOTS)]), p + 1)) != 0))
+    points = measured.join(near(labels, 50_000), "region", "left").withColumn("label", F.when(F.col("balls") != 0, F.element_at("labels", lowest + 1))).select("region", "fp", "members", "home", "near", "apart", "label")
     # of each cell: radius, and the label that all its points have, if they have one
     one = F.when((F.count("*") == F.count("label")) & (F.min("label") == F.max("label")), F.min("label"))
-    cells = points.groupBy("region", "home").agg(F.max("near").alias("radius"), one.alias("whole"), F.count("*").alias("members")).collect()
-    by_region: dict[int, list] = {}
-    for c in cells:
-        by_region.setdefault(c["region"], []).append((c["home"], c["radius"], c["whole"]))
-    table = spark.sparkContext.broadcast(by_region)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each point goes to its own cell, and to those of earlier pivots that it can have links into."""
-        for part in slices(batches):
-            at, cell, visits = [], [], []
-            for i, (region, home, apart, own) in enumerate(zip(*(part.column(c).to_pylist() for c in ("region", "home", "apart", "label")), strict=True)):
-                for p, radius, whole in table.value[region]:
-                    if p == home or p < home and apart[p] <= radius + 0.25 + EPS and not (own is not None and own == whole):
-                        at.append(i), cell.append(p), visits.append(p != home)
-            took = part.select(["region", "fp"]).take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell, pa.int32()), pa.array(visits, pa.bool_())], ["region", "fp", "cell", "visits"])
-
-    dealt = materialize(points.select("region", "fp", "home", "apart", "label").mapInArrow(deal, "region long, fp long, cell int, visits boolean"), "jaccard-dealt")
+    cells = points.groupBy("region", "home").agg(F.max("near").alias("radius"), one.alias("whole"))
+    cells = own.table(cells.groupBy("region").agg(F.collect_list(F.struct("home", "radius", "whole")).alias("cells")), "jaccard-of-regions")
+    dealt = own.table(points.join(near(cells, 50_000), "region").mapInArrow(_deal, "region long, fp long, members long, cell int, visits boolean"), "jaccard-dealt")
     # a cell that hangs together needs a task only if it has visitors
+    whole = cells.select("region", F.explode("cells").alias("c")).select("region", F.col("c.home").alias("cell"), F.col("c.whole").isNotNull().alias("whole"))
     visited = dealt.groupBy("region", "cell").agg(F.max("visits").alias("visited"), F.count("*").alias("n"))
-    wholes = spark.createDataFrame([(c["region"], c["home"], c["whole"] is not None) for c in cells] or [(0, 0, True)], "region long, cell int, whole boolean")
-    open_cells = visited.join(F.broadcast(wholes), ["region", "cell"]).where("(visited or not whole) and n > 1").select("region", "cell")
-    moves = materialize(dealt.join(near(materialize(open_cells, "jaccard-open")), ["region", "cell"]).select("region", "fp", "cell"), "jaccard-moves")
-    new = rows.join(near(moves), ["region", "fp"]).select(F.xxhash64("region", "cell", F.lit(depth)).alias("region"), "fp", "points")
-    return materialize(links, "jaccard-links"), materialize(new, "jaccard-regions")
-
-
-def region_links(rows: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the points of each region of ``rows`` (region, fp, points) as all links do."""
-    found, before = [], None
-    for depth in range(DEPTH + 1):
-        sizes = materialize(region_sizes(rows), "jaccard-sizes")
+    open_cells = own.table(visited.join(whole, ["region", "cell"]).where("(visited or not whole) and n > 1").select("region", "cell"), "jaccard-open")
+    moves = own.table(dealt.join(near(open_cells), ["region", "cell"]).select("region", "fp", "cell", "members"), "jaccard-moves")
+    new = rows.drop("parent").join(near(moves), ["region", "fp"]).select(F.xxhash64("region", "cell", F.lit(depth)).alias("region"), "fp", "points", F.col("members").alias("parent"))
+    return links, own.table(new, "jaccard-regions")
+
+
+def region_links(rows: DataFrame, own: Scratch) -> DataFrame:
+    """Links (a, b) that connect the points of each region of ``rows`` (region, fp, points) as all links do.
+
+    Regions that fit are joined in a task each; others are split until they do. The cells of a region that didn't thin
+    out by a tenth are joined in blocks, so the rounds end: in each one all that goes on is a tenth smaller.
+    """
+    found, rows, depth = [], rows.withColumn("parent", F.lit(None).cast("long")), 0
+    while True:
+        sizes = own.table(region_sizes(rows), "jaccard-sizes")
         fits = (F.col("members") <= LIMIT) & (F.col("total") <= LIMIT_SHINGLES)
-        most = sizes.where(~fits).agg(F.max("members").alias("m"), F.sum("members").alias("s")).first()
-        flagged = rows.join(near(sizes.select("region", "members", "total")), "region")
-        small = flagged.where(fits & (F.col("members") > 1))
-        found.append(materialize(join_groups(small.withColumnRenamed("region", "group")), "jaccard-links"))
-        if most["m"] is None:
-            break
-        large = materialize(flagged.where(~fits).select("region", "fp", "points"), "jaccard-large")
-        if depth == DEPTH or before is not None and most["s"] > 0.8 * before:
-            found.append(materialize(blocks_joined(large, sizes.where(~fits)), "jaccard-links"))
+        stuck = ~fits & F.coalesce(F.col("members") > THINNED * F.col("parent"), F.lit(False))
+        pick = lambda test, sizes=sizes, rows=rows: rows.join(near(own.table(sizes.where(test).select("region"), "jaccard-picked")), "region")
+        found.append(own.table(join_groups(pick(fits & (F.col("members") > 1)).withColumnRenamed("region", "group")), "jaccard-links"))
+        if not sizes.where(stuck).isEmpty():
+            found.append(own.table(blocks_joined(pick(stuck), sizes.where(stuck), own), "jaccard-links"))
+        large = sizes.where(~fits & ~stuck)
+        if large.isEmpty():
             break
-        before = most["s"]
-        links, rows = split_regions(large, depth)
+        links, rows = split_regions(own.table(pick(~fits & ~stuck), "jaccard-large"), large, depth, own)
         found.append(links)
+        depth += 1
     links = found[0]
     for x in found[1:]:
         links = links.union(x)
@@ -434,18 +546,23 @@ def region_links(rows: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to (doc_id, n_shingles, component_id), a row for each row."""
-    points, rank = read_points(docs)
-    named = materialize(points.groupBy("fp").agg(F.min("id").alias("id"), F.min("check").alias("c"), F.max("check").alias("d"), F.max("n").alias("n")), "jaccard-names")
-    if not named.where("c <> d").isEmpty():
-        raise RuntimeError("two sets of shingles share a name; change the hash")
-    names = named.where("n > 0").select("fp", "id")
-    coarse = components(coarse_links(docs, rank))
-    rows = materialize(regions_with_sets(docs, names, coarse), "jaccard-regions")
-    links = components(region_links(rows)).withColumnRenamed("node", "fp")
-    ids = materialize(names.join(links, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "jaccard-ids")
-    least = materialize(ids.groupBy("component").agg(F.min("id").alias("component_id")), "jaccard-least")
-    final = materialize(ids.join(least, "component").select("fp", "component_id"), "jaccard-final")
-    back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return points.select("id", "n", "fp").join(final.hint("merge"), "fp", "left").select(
-        back("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, back("component_id")).otherwise(back("id")).alias("component_id"),
-    )
+    with Scratch(docs.sparkSession) as own:
+        points, rank = read_points(docs, own)
+        group = lambda p: own.table(p.groupBy("fp").agg(F.min("id").alias("id"), F.min_by("th", "id").alias("th"), F.min("check").alias("c"), F.max("check").alias("d"), F.max("n").alias("n")), "jaccard-names")
+        named, renamed = group(points), {}
+        if not named.where("c <> d").isEmpty():
+            renamed = rename(points, named)
+            table = docs.sparkSession.createDataFrame([(*key, x) for key, x in renamed.items()], "fp long, check long, other long")
+            points = points.join(F.broadcast(table), ["fp", "check"], "left").withColumn("fp", F.coalesce("other", "fp")).drop("other")
+            named = group(points)
+        names = named.where("n > 0").select("fp", "id", "th")
+        coarse = components(coarse_links(docs, rank, renamed, own), own)
+        rows = own.table(regions_with_sets(docs, names, coarse, renamed, own), "jaccard-regions")
+        links = components(region_links(rows, own), own).withColumnRenamed("node", "fp")
+        ids = own.table(names.join(links, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component")), "jaccard-ids")
+        least = own.table(ids.groupBy("component").agg(F.min("id").alias("component_id")), "jaccard-least")
+        final = own.table(ids.join(least, "component").select("fp", "component_id"), "jaccard-final")
+        back = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+        return own.keep(points.select("id", "n", "fp").join(final.hint("merge"), "fp", "left").select(
+            back("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, back("component_id")).otherwise(back("id")).alias("component_id"),
+        ), "jaccard-components")

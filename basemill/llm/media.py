@@ -157,7 +157,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
         for part in slices(batches):
             ids, media = part.column("doc_id").to_pylist(), [encode(x) for x in utf8(part.column("text"))]
             digests = [hashlib.sha256(x).hexdigest() for x in media]
-            pages = [f'<article><p>Document {i}</p><figure><img src="{SCHEME}{d}"><figcaption>{htmllib.escape(f"samples of {i}")}</figcaption></figure></article>' for i, d in zip(ids, digests, strict=True)]
+            pages = [f'<article><p>Document {i}</p><figure><img src="{SCHEME}{d}"><figcaption>{htmllib.escape(f"samples of {i}")}</figcaption></figure><p>End of {i}</p></article>' for i, d in zip(ids, digests, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("seq_id"), part.column("doc_id"), pa.array(pages, pa.string()), pa.array(digests, pa.string()), pa.array(media, pa.binary())], ["seq_id", "doc_id", "html", "digest", "media"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("seq_id"), F.col("doc_id").cast("bigint"), "text")

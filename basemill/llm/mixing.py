@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, Scratch
 
 #: Bits of a hash, and bits of a bucket: 3 nested histograms of 4096 buckets each.
 HASH_BITS, LEVEL_BITS = 36, 12
@@ -70,16 +70,17 @@ def source_key() -> Column:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """Ids, sources, sizes and hashes, written once: the passes after that read only these few numbers."""
+    """Ids, sources, sizes and hashes: written once, so the passes after that read only these few numbers."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    return materialize(docs.select("doc_id", "source", source_key().alias("key"), size.alias("size"), order_hash(F.col("doc_id")).alias("h")), "mixing-sizes")
+    return docs.select("doc_id", "source", source_key().alias("key"), size.alias("size"), order_hash(F.col("doc_id")).alias("h"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """``docs``: doc_id, source, text. Returns doc_id, source, size, source_size, target,
     times_taken (copies of the document in the mix) and taken (words)."""
-    slim = sized(docs)
-    plan, n_sources = mixing_plan(slim, weights, share, most)
+    with Scratch(docs.sparkSession) as own:
+        slim = own.keep(sized(docs), "mixing-sizes")
+        plan, n_sources = mixing_plan(slim, weights, share, most, own)
     times = F.col("copies") + (F.col("h") < F.col("threshold")).cast("bigint")
     return _with_source(slim, plan, n_sources).select("doc_id", "source", "size", "source_size", "target", times.alias("times_taken"), (F.col("size") * times).alias("taken"))
 
@@ -87,20 +88,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
 def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), most: int = 2) -> DataFrame:
     """The rows of the mix: each row of ``docs`` as many times as it is taken, with its own columns. Texts aren't shuffled
     unless there are more than BROADCAST_SOURCES sources."""
-    plan, n_sources = mixing_plan(sized(docs), weights, share, most)
-    own = docs.select(F.struct(*docs.columns).alias("row"), source_key().alias("key"), order_hash(F.col("doc_id")).alias("h"))
+    with Scratch(docs.sparkSession) as own:
+        plan, n_sources = mixing_plan(own.table(sized(docs), "mixing-sizes"), weights, share, most, own)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), source_key().alias("key"), order_hash(F.col("doc_id")).alias("h"))
     times = F.col("copies") + (F.col("h") < F.col("threshold")).cast("bigint")
-    taken = _with_source(own, plan.select("key", "copies", "threshold"), n_sources).withColumn("times", times).where("times > 0")
+    taken = _with_source(rows, plan.select("key", "copies", "threshold"), n_sources).withColumn("times", times).where("times > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("row.*")
 
 
-def mixing_plan(slim: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int) -> tuple[DataFrame, int]:
+def mixing_plan(slim: DataFrame, weights: tuple[int, ...], share: tuple[int, int], most: int, own: Scratch) -> tuple[DataFrame, int]:
     """Of each source (key): source_size, target, copies, and the threshold below which a hash is taken once more."""
     key = source_key()
     shift = HASH_BITS - LEVEL_BITS
-    histogram = materialize(_histogram(slim, shift), "mixing-histogram")
+    histogram = own.table(_histogram(slim, shift), "mixing-histogram")
     sizes = histogram.groupBy("key").agg(F.sum("words").alias("source_size")).select(F.when(~F.col("key.missing"), F.col("key.name")).alias("source"), "source_size")
-    targets = materialize(source_targets(sizes, weights, share, most).withColumn("key", key), "mixing-targets")
+    targets = own.table(source_targets(sizes, weights, share, most).withColumn("key", key), "mixing-targets")
     n_sources = targets.count()
 
     state, settled = targets.select("key", "budget", F.lit(0).cast("bigint").alias("prefix")), []
@@ -111,15 +113,15 @@ def mixing_plan(slim: DataFrame, weights: tuple[int, ...], share: tuple[int, int
             nearest = F.when(F.col("cross.words") <= 2 * F.col("cross.rest"), F.col("cross.bucket") + 1).otherwise(F.col("cross.bucket"))
             settled.append(step.select("key", F.coalesce(nearest, none_crossed).alias("threshold")))
             break
-        step = materialize(step, "mixing-state")
+        step = own.table(step, "mixing-state")
         settled.append(step.where(F.col("cross").isNull()).select("key", none_crossed.alias("threshold")))
         state = step.where(F.col("cross").isNotNull()).select("key", F.col("cross.rest").alias("budget"), F.col("cross.bucket").alias("prefix"))
         boundary = _with_source(slim, state.select("key", "prefix"), n_sources).where(F.shiftright("h", shift) == F.col("prefix"))
         shift -= LEVEL_BITS
-        histogram = materialize(_histogram(boundary, shift), "mixing-histogram")
+        histogram = own.table(_histogram(boundary, shift), "mixing-histogram")
 
     thresholds = settled[0].unionByName(settled[1]).unionByName(settled[2])
-    return materialize(targets.drop("source").join(thresholds, "key"), "mixing-plan"), n_sources
+    return own.keep(targets.drop("source").join(thresholds, "key"), "mixing-plan"), n_sources
 
 
 def _histogram(slim: DataFrame, shift: int) -> DataFrame:

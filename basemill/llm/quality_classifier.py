@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, utf8
+from .common import Scratch, slices, utf8
 
 WORDS, SHAPES, DIMENSIONS, SPARKS = 1 << 14, 1 << 10, 64, 4
 BUCKETS = WORDS + SHAPES
@@ -198,26 +198,27 @@ def pooled(docs: DataFrame, vectors: np.ndarray, keep: list[str]) -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, param: Param = Param()) -> DataFrame:
-    """doc_id, score of every document. ``labels``: doc_id, quality, of the rows that may be learned from.
+    """doc_id, score of every document. ``labels``: doc_id, quality, of the rows that may be learned from; contrary labels
+    of an id count as good, and rows that share an id as one example.
 
     Word vectors come from all documents and all are pooled, once; the pooled vectors (512 bytes a document) are written,
     for training and scoring to read.
     """
-    vectors = unit_vectors(word_sums(docs))
-    table = materialize(pooled(docs.select(F.col("doc_id").cast("bigint"), "text"), vectors, ["doc_id"]), "quality-vectors")
-    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    n = known.count()
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1 << 20)) * F.lit(n).cast("bigint") < F.lit(param.examples << 20)
-    rows = table.join(known.where(chance), "doc_id").limit(param.examples + param.examples // 5).toArrow().sort_by("doc_id")
-    y = np.array(rows.column("quality").to_pylist(), np.int64) == 1
-    x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, 2 * DIMENSIONS)
-    if len(set(y.tolist())) < 2:
-        return table.select("doc_id", F.lit(float(y.mean()) if len(y) else 1.0).alias("score"))
-    net = fit_network(x, y, param)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 4096):
-            x = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float32).reshape(-1, 2 * DIMENSIONS)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(net.probabilities(x), pa.float64())], ["doc_id", "score"])
-
-    return table.mapInArrow(run, "doc_id long, score double")
+    with Scratch(docs.sparkSession) as own:
+        vectors = unit_vectors(word_sums(docs))
+        table = own.table(pooled(docs.select(F.col("doc_id").cast("bigint"), "text"), vectors, ["doc_id"]), "quality-vectors")
+        known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        drawn = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(param.examples)
+        rows = table.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "quality").agg(F.min("vector").alias("vector")).toArrow().sort_by("doc_id")
+        y = np.array(rows.column("quality").to_pylist(), np.int64) == 1
+        x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float32).reshape(-1, 2 * DIMENSIONS)
+        if len(set(y.tolist())) < 2:
+            return own.keep(table.select("doc_id", F.lit(float(y.mean()) if len(y) else 1.0).alias("score")), "quality-scores")
+        net = fit_network(x, y, param)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in slices(batches, 4096):
+                x = np.frombuffer(b"".join(part.column("vector").to_pylist()), np.float32).reshape(-1, 2 * DIMENSIONS)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(net.probabilities(x), pa.float64())], ["doc_id", "score"])
+
+        return own.keep(table.mapInArrow(run, "doc_id long, score double"), "quality-scores")

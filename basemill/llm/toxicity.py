@@ -6,10 +6,15 @@ prior's part of the positives, and where that estimate falls below zero its grad
 classifier can't gain by fitting single examples.
 
 A text's features are the distinct words (lower-cased, without the marks around them) and distinct word beginnings that
-it has, out of a vocabulary of those that confirmed examples have more often than unlabelled ones.
+it has, out of a vocabulary of those that confirmed examples have more often than all documents have.
+
+What is learned from: confirmed examples and unlabelled text are bounded samples of the labelled rows (as unlabelled text
+their label isn't used; the class prior is that of the same rows). How often features are in unlabelled text is counted
+over all documents.
 
 Defined results: null and empty texts have no features and get the base score; without confirmed examples every score is
-0; repeated rows get equal scores; an empty table gives an empty table.
+0; rows that repeat an id count as one example, with the smallest text, toxic if any label says so; repeated rows get
+equal scores; columns of ``docs`` pass through; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import Scratch, binomial_at_least, slices, utf8
 
 MARKS = b".,;:!?\"'()[]{}<>#*$%&|-_~`"
 START = 4
@@ -32,18 +37,18 @@ START = 4
 
 @dataclass(frozen=True)
 class Param:
-    #: Examples trained on, at most (a sample by a hash of the id).
+    #: Labelled rows trained on, at most: confirmed examples, and rows taken as unlabelled text (by a hash of the id).
     positives: int = 3000
     unlabelled: int = 6000
     vocabulary: int = 1500
-    #: A feature is used if confirmed examples have it so many times as often, and so many of them have it.
+    #: A feature is used if confirmed examples have it so many times as often, and so many of them have it,
     lift: float = 3.0
-    support: int = 5
-    #: ... and the difference is so many standard deviations.
-    deviations: float = 3.5
-    steps: int = 600
+    support: int = 3
+    #: ... and chance would bring it into so many of them with at most this probability.
+    chance: float = 1e-3
+    steps: int = 1500
     rate: float = 0.05
-    decay: float = 3e-4
+    decay: float = 2e-5
 
 
 def features(text: bytes) -> set[bytes]:
@@ -53,12 +58,6 @@ def features(text: bytes) -> set[bytes]:
     return words | {w[:START] + b"~" for w in words if len(w) > START}
 
 
-def draw(docs: DataFrame, most: int, n: int, seed: str) -> DataFrame:
-    """About ``most`` of the ``n`` rows, by a hash of the id; never more than a fifth above that."""
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 20)) * F.lit(n).cast("bigint") < F.lit(most << 20)
-    return docs.where(chance).limit(most + most // 5)
-
-
 class Model:
     def __init__(self, weights: dict[bytes, float], bias: float) -> None:
         self.weights, self.bias = weights, bias
@@ -72,21 +71,14 @@ class Model:
 NEVER = Model({}, -1e9)
 
 
-def choose_vocabulary(positive: list[tuple[bytes, ...]], unlabelled: list[tuple[bytes, ...]], param: Param) -> list[bytes]:
-    """Features that confirmed examples have more often, by the significance of the difference."""
-    p, u = Counter(), Counter()
-    for x in positive:
-        p.update(x)
-    for x in unlabelled:
-        u.update(x)
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
+def choose_vocabulary(positive: dict[bytes, int], n: int, everywhere: dict[bytes, int], m: int, param: Param) -> list[bytes]:
+    """Features that ``n`` confirmed examples have more often than ``m`` documents, by how unlikely chance has it so."""
     rated = []
-    for word, k in p.items():
-        a, b = k / n, (u[word] + 0.5) / (m + 1)
-        if k >= param.support and a >= param.lift * b:
-            rated.append(((a - b) / math.sqrt(b / m + a / n), word))
-    rated = sorted((x for x in rated if x[0] >= param.deviations), key=lambda x: (-x[0], x[1]))
-    return [w for _, w in rated[: param.vocabulary]]
+    for word, k in positive.items():
+        b = (everywhere.get(word, 0) + 0.5) / (m + 1)
+        if k >= param.support and k / n >= param.lift * b and (p := binomial_at_least(k, n, b)) <= param.chance:
+            rated.append((p, -k, word))
+    return [w for _, _, w in sorted(rated)[: param.vocabulary]]
 
 
 def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, param: Param) -> tuple[np.ndarray, float]:
@@ -112,44 +104,82 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, param: Param) -> tupl
     return w, b
 
 
-def _matrix(rows: list[tuple[bytes, ...]], vocabulary: list[bytes]) -> np.ndarray:
-    number = {w: i for i, w in enumerate(vocabulary)}
-    x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, row in enumerate(rows):
-        x[i, [number[w] for w in row if w in number]] = 1
-    return x
+def examples(docs: DataFrame, labels: DataFrame, param: Param) -> DataFrame:
+    """(doc_id, confirmed, unlabelled, features) of the labelled rows that are learned from. Their ids are drawn first,
+    from the labels alone, so no text is shuffled but theirs."""
+    first = lambda rows, seed, most: rows.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most).select("doc_id")
+    confirmed = first(labels.where("toxic = 1"), "toxic", param.positives).select("doc_id", F.lit(True).alias("confirmed"), F.lit(False).alias("unlabelled"))
+    unlabelled = first(labels, "unlabelled", param.unlabelled).select("doc_id", F.lit(False).alias("confirmed"), F.lit(True).alias("unlabelled"))
+    ids = confirmed.unionByName(unlabelled).groupBy("doc_id").agg(F.max("confirmed").alias("confirmed"), F.max("unlabelled").alias("unlabelled"))
+    own = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "confirmed", "unlabelled").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            found = pa.array([sorted(features(x)) for x in utf8(part.column("text"))], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("confirmed"), part.column("unlabelled"), found], ["doc_id", "confirmed", "unlabelled", "features"])
+
+    return own.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, confirmed boolean, unlabelled boolean, features array<binary>")
+
+
+def document_counts(docs: DataFrame, wanted: frozenset[bytes]) -> tuple[dict[bytes, int], int]:
+    """In how many documents each wanted feature is, over all of them, and how many documents there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for part in slices(batches):
+            found[b""] += part.num_rows  # no feature is empty
+            for x in utf8(part.column("text")):
+                found.update(features(x) & shared.value)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["feature", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "feature binary, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+    counted = {bytes(r["feature"]): r["n"] for r in rows}
+    return counted, counted.pop(b"", 0)
 
 
 def train(docs: DataFrame, labels: DataFrame, param: Param = Param()) -> Model:
-    """``docs``: doc_id, text; ``labels``: doc_id, toxic. Unlabelled text is drawn from all documents, whatever their label.
+    """``docs``: doc_id, text; ``labels``: doc_id, toxic, of the rows that may be learned from.
 
-    The prior is the share of toxic ones among all labelled rows; the classifier is fitted on bounded samples.
+    The prior is the share of toxic ones among all labelled rows. To the driver come numbers of features, and of each
+    example those in the vocabulary.
     """
-    counted = labels.agg(F.count("toxic").alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("k")).first()
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counted = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0)).alias("k")).first()
     if not counted["k"]:
         return NEVER
     prior = min(0.95, max(1e-4, counted["k"] / counted["n"]))
-    confirmed = docs.join(labels.where(F.col("toxic") == 1).select("doc_id").distinct(), "doc_id", "left_semi")
-    one: dict[bytes, bytes] = {}  # equal features are one object
-    positive = [tuple(one.setdefault(w, w) for w in features(x)) for x in _texts(draw(confirmed, param.positives, counted["k"], "toxic"))]
-    times = Counter()
-    for row in positive:
-        times.update(row)
-    wanted = {w for w, k in times.items() if k >= param.support}
-    positive = [tuple(w for w in row if w in wanted) for row in positive]
-    unlabelled = [tuple(one[w] for w in features(x) & wanted) for x in _texts(draw(docs, param.unlabelled, docs.count(), "unlabelled"))]
-    if not positive or not unlabelled:
-        return NEVER
-    vocabulary = choose_vocabulary(positive, unlabelled, param)
-    w, b = fit_nnpu(_matrix(positive, vocabulary), _matrix(unlabelled, vocabulary), prior, param)
+    with Scratch(docs.sparkSession) as own:
+        rows = own.table(examples(docs, known, param), "toxicity-examples")
+        confirmed = rows.where("confirmed")
+        n = confirmed.count()
+        times = {bytes(r["w"]): r["n"] for r in confirmed.select(F.explode("features").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= param.support).collect()}
+        if not n or rows.where("unlabelled").isEmpty():
+            return NEVER
+        everywhere, m = document_counts(docs, frozenset(times))
+        vocabulary = choose_vocabulary(times, n, everywhere, m, param)
+        x = _matrix(rows, vocabulary)
+    w, b = fit_nnpu(x["confirmed"], x["unlabelled"], prior, param)
     return Model({v: float(x) for v, x in zip(vocabulary, w, strict=True)}, float(b))
 
 
-def _texts(rows: DataFrame) -> Iterator[bytes]:
-    """Texts of a bounded sample, in the order of their ids."""
-    table = rows.select("doc_id", "text").toArrow().sort_by("doc_id")
-    for batch in table.to_batches(max_chunksize=256):
-        yield from utf8(batch.column("text"))
+def _matrix(rows: DataFrame, vocabulary: list[bytes]) -> dict[str, np.ndarray]:
+    """The examples of each kind as 0/1 rows over the vocabulary, in the order of their ids."""
+    number = {w: i for i, w in enumerate(vocabulary)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            at = pa.array([[number[w] for w in x if w in number] for x in part.column("features").to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("confirmed"), part.column("unlabelled"), at], ["doc_id", "confirmed", "unlabelled", "at"])
+
+    table = rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, confirmed boolean, unlabelled boolean, at array<int>").toArrow().sort_by("doc_id")
+    made = {}
+    for kind in ("confirmed", "unlabelled"):
+        some = [at for at, ok in zip(table.column("at").to_pylist(), table.column(kind).to_pylist(), strict=True) if ok]
+        made[kind] = np.zeros((len(some), len(vocabulary)), np.float32)
+        for i, at in enumerate(some):
+            made[kind][i, at] = 1
+    return made
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:

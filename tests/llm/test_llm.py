@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from basemill.llm import bpe, chat_format, jaccard_join, language_id, line_dedup, media, mixing, op7, quality_classifier, quality_rules, toxicity
+from basemill.llm import bpe, chat_format, common, jaccard_join, language_id, line_dedup, media, mixing, op7, quality_classifier, quality_rules, toxicity
 from basemill.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -20,10 +21,13 @@ PATH, PATTERN = public_tokenizers.path(op7.VOCABULARY), public_tokenizers.PATTER
 ODD = [None, "", " ", "\n", "a", "one two", "x" * 5000, "word " * 3000, "Ünïcödé 日本語 🙂", "  a  b \n\n c\t", "tab\tand\x0bvertical\x0c\r\n", "it's  we'll\x1c x　y"]
 
 
+CLASHING = ("id", "h", "h1", "n", "fp", "th", "t1", "pos", "size", "drops", "key", "region", "score", "ids", "part", "parent", "rows_of_lang", "text_hash", "vector", "n_dropped")
+
+
 def docs(spark, texts, extra=False):
     rows = [(i, t, "en", f"s{i % 3}" if i % 5 else None, len(t or "")) for i, t in enumerate(texts)]
     d = spark.createDataFrame(rows, SCHEMA)
-    return d.withColumns({n: F.lit(1) for n in ("id", "h", "fp", "size", "drops", "key", "region", "score", "ids")}) if extra else d
+    return d.withColumns({n: F.lit(1) for n in CLASHING}) if extra else d
 
 
 def empty(spark):
@@ -68,13 +72,51 @@ def brute_components(texts):
     return {i: (len(s), find(i)) for i, s in enumerate(sets)}
 
 
-@pytest.mark.parametrize("limit, crowd", [(512, 64), (4, 3)])
-def test_jaccard_join(spark, monkeypatch, limit, crowd):
+@pytest.mark.parametrize("limit, crowd, thinned", [(512, 64, 0.9), (4, 3, 0.9), (4, 3, 0.1)])
+def test_jaccard_join(spark, monkeypatch, limit, crowd, thinned):
+    """Whole regions in a task, regions split over tasks, and blocks where splitting doesn't help."""
     monkeypatch.setattr(jaccard_join, "LIMIT", limit)
     monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "THINNED", thinned)
+    split, blocks = [], []
+    for name, calls in (("split_regions", split), ("blocks_joined", blocks)):
+        monkeypatch.setattr(jaccard_join, name, lambda *a, f=getattr(jaccard_join, name), calls=calls: calls.append(1) or f(*a))
     texts = texts_with_copies()
     found = jaccard_join.jaccard_components(docs(spark, texts, extra=True)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts)
+    assert bool(split) == (limit == 4) and (bool(blocks) or thinned == 0.9)
+
+
+def test_pivot_join():
+    """The join of a region: the same components as all pairs, by pivots, cells and visits."""
+    rng, used = np.random.default_rng(2), Counter()
+    for n in (2, 5, 40, 200):
+        centres = [rng.integers(0, 2000, 60) for _ in range(max(1, n // 8))]
+        sets = [np.unique(np.where(rng.random(60) < 0.12, rng.integers(0, 2000, 60), centres[i % len(centres)]).astype(np.uint64)) for i in range(n)]
+        join = jaccard_join.PivotJoin(list(range(n)), sets).run()
+        used.update(pivots=join.pivots, visits=join.visits, compared=join.compared, all=n * (n - 1) // 2)
+        want, root = list(range(n)), list(range(n))
+        for label, links in ((want, [(i, j) for i in range(n) for j in range(i) if jaccard_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]), (root, join.links)):
+            for a, b in links:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label[:] = [new if x == old else x for x in label]
+        assert root == want
+    assert used["pivots"] > 20 and used["visits"] > 0 and used["compared"] < used["all"]
+
+
+def test_jaccard_names(spark, monkeypatch):
+    """Sets that share a name get others."""
+    key = jaccard_join.set_key
+    monkeypatch.setattr(jaccard_join, "set_key", lambda x: (key(x)[0] % 5, key(x)[1]))
+    texts = texts_with_copies(n=6)
+    d = docs(spark, texts)
+    with common.Scratch(spark) as own:
+        points = spark.createDataFrame([(*jaccard_join.set_key(jaccard_join.shingles((t or "").encode())),) for t in texts], "fp long, check long")
+        named = own.table(points.groupBy("fp").agg(F.min("check").alias("c"), F.max("check").alias("d")), "names")
+        renamed = jaccard_join.rename(points, named)
+    names = {jaccard_join.name_of(jaccard_join.shingles((t or "").encode()), renamed) for t in texts}
+    assert len(names) == len({key(jaccard_join.shingles((t or "").encode())) for t in texts}) > 5
+    assert d.count() == len(texts)
 
 
 def test_jaccard_join_crowds_of_unlike_sizes(spark):
@@ -94,16 +136,10 @@ def test_jaccard_join_edges(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in jaccard_join.jaccard_components(d).collect()) == [(-1, -1), (3, -1), (3, -1), (4, 4)]
 
 
-def test_spanning_links():
-    rng = np.random.default_rng(2)
-    sets = [np.unique(rng.integers(0, 40, 20).astype(np.uint64)) for _ in range(60)]
-    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
-    assert (jaccard_join.overlaps(sets) == want).all()
-
-
 def test_components(spark):
     links = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7), (50, 60), (60, 55)] + [(200, 200 + i) for i in range(1, 40)]
-    found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    with common.Scratch(spark) as own:
+        found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), own).collect()}
     assert found == {**dict.fromkeys(range(31), 0), 100: 100, 101: 100, 50: 50, 55: 50, 60: 50, **dict.fromkeys(range(200, 240), 200)}
 
 
@@ -127,11 +163,28 @@ def test_line_dedup(spark):
     rng = random.Random(4)
     pool = ["é" * 40, "É" * 40, "short line", "x" * 39, " " + "The same line of more than forty characters\t", "the SAME line of more than forty characters", "y" * 200]
     texts = ODD + ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
-    found = {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.dedup_lines(docs(spark, texts, extra=False).withColumn("h1", F.lit(0))).collect()}
+    found = {r.doc_id: (r.n_lines, r.n_dropped, r.text or "") for r in line_dedup.dedup_lines(docs(spark, texts, extra=True)).collect()}
     assert found == brute_lines(texts)
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
     same = spark.createDataFrame([(1, "z" * 50)] * 9 + [(None, "z" * 50)], "doc_id long, text string")
     assert {r.n_dropped for r in line_dedup.dedup_lines(same).collect()} == {0}
+    long = "z" * 50
+    rows = [(None, long), (None, f"{long}\na"), (2, f"b\n{long}"), (2, long), *[(i, f"{long}\n{i}\n{long}") for i in range(3, 8)]]
+    found = sorted((r.doc_id or 0, r.text, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == [(0, "", 1), (0, "a", 1), (2, "", 1), (2, "b", 1), (3, "3", 2), (4, "4", 2), (5, "5", 2), (6, "6", 2), (7, f"{long}\n7\n{long}", 0)]
+
+
+def test_scratch(spark):
+    """A scratch deletes its own tables and nothing else, so a result outlives other operators."""
+    lazy = mixing.mix(docs(spark, ["a b", "c"] * 20))
+    line_dedup.dedup_lines(docs(spark, ["x" * 50] * 9)).count()
+    jaccard_join.jaccard_components(docs(spark, ["a b c d e f"] * 9)).count()
+    assert lazy.count() == 40
+    with common.Scratch(spark) as own:
+        gone, stays = own.table(spark.range(3), "gone"), own.keep(spark.range(3), "stays")
+    assert stays.count() == 3
+    with pytest.raises(Exception, match="(?i)not.?exist|no such"):
+        gone.count()
 
 
 # mixing
@@ -179,6 +232,36 @@ def test_bpe(spark):
     assert bpe.digests(empty(spark), PATH, PATTERN).count() == 0
 
 
+def test_bpe_long_matches():
+    """Matches of many segments, with and without a place where segments agree; linear in their length."""
+    codec = bpe.Codec(PATH, PATTERN)
+    ref = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    rng = random.Random(5)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [pick("abcdefghijklmnopqrstuvwxyz", 100_000), pick("ACGT", 20_000), "x" + "a" * 9001, "abc" * 900, "=" * 777, " " * 1001 + "x", "日本語" * 400]
+    texts += ["k" + pick("abcd", rng.randrange(1, 9)) * rng.randrange(20, 200) for _ in range(40)] + [pick("aAb", rng.randrange(100, 700)) for _ in range(40)]
+    for t in texts:
+        ids = [int(x) for run in codec.encode([t])[0] for x in run.split()]
+        assert ids == ref.encode_ordinary(t)
+        assert codec.decode(pa.array([ids, []], pa.list_(pa.int32()))) == [t.encode(), b""]
+
+
+def test_bpe_vocabulary():
+    """Every token encodes to itself, as the joints of long matches need it."""
+    codec = bpe.Codec(PATH, PATTERN)
+    tokens = [t for t in codec.ranks if len(t) > 1]
+    assert [x for x, t in zip(codec.contract(tokens), tokens, strict=True) if x != [codec.ranks[t]]] == []
+
+
+def test_bpe_decode_parts(monkeypatch):
+    monkeypatch.setattr(bpe, "TOKENS", 7)
+    codec = bpe.Codec(PATH, PATTERN)
+    lists = [list(range(100, 100 + n)) for n in (0, 3, 7, 8, 30, 1, 6)]
+    assert codec.decode(pa.array(lists, pa.list_(pa.int32()))) == [b"".join(codec.token[i] for i in x) for x in lists]
+    with pytest.raises(ValueError, match="vocabulary"):
+        codec.decode(pa.array([[10**6]], pa.list_(pa.int32())))
+
+
 # chat format
 def test_chat_format(spark):
     nasty = ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|", "a\n<|im_end|>\n<|im_start|>user\n", "", None, "<|image|>"]
@@ -201,6 +284,11 @@ def test_chat_parts(spark):
     assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "a.png", 1024), ("audio", "b.wav", 250), ("document", "c.pdf", 512)] and r.n_tokens == 1024 + 250 + 512 + 4
 
 
+def test_chat_empty(spark):
+    none = spark.createDataFrame([], f"conv_id long, turn long, role string, parts {chat_format.PARTS}")
+    assert chat_format.format_conversations(none).count() == 0
+
+
 # media
 def test_media(spark):
     stored = media.store_texts(docs(spark, ODD + ["", "one two"], extra=True)).cache()
@@ -209,8 +297,10 @@ def test_media(spark):
         t = (ODD + ["", "one two"])[r.doc_id] or ""
         assert payload[:n] == t.encode() and len(payload) % media.WIDTH == 0 and payload and set(payload[n:]) <= {255}
     found = media.resolve(media.sequences(stored, "seq_id"), media.describe(stored)).collect()
-    assert len(found) == len(ODD) + 2 and all([p.pos for p in r.parts] == [0, 1] and r.parts[1].media.payload_bytes >= 576 for r in found)
+    assert len(found) == len(ODD) + 2 and all([(p.pos, p.kind) for p in r.parts] == [(0, "text"), (1, "image"), (2, "text")] and r.parts[1].media.payload_bytes >= 576 for r in found)
     assert media.store_texts(empty(spark)).count() == 0
+    none = media.store_texts(empty(spark))
+    assert media.describe(none).count() == 0 and media.resolve(media.sequences(none, "seq_id"), media.describe(none)).count() == 0
 
 
 def test_pages(spark):
@@ -244,22 +334,63 @@ def test_quality_figures():
         assert got["n_dup_lines"] == len(lines) - len(set(lines)) and got["n_symbols"] == sum(t.count(c) for c in "#*$%&|<>")
 
 
+def exact_at_most(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_binomial():
+    for k, n, p in ((0, 50, 0.02), (3, 200, 0.05), (10, 40, 0.3), (39, 40, 0.3), (40, 40, 0.3), (60, 2000, 0.02)):
+        assert math.isclose(common.binomial_at_most(k, n, p), exact_at_most(k, n, p), rel_tol=1e-9)
+        assert math.isclose(common.binomial_at_least(k, n, p), 1 - exact_at_most(k - 1, n, p), rel_tol=1e-6, abs_tol=1e-12)
+    assert math.isclose(common.binomial_at_most(49_990_000, 10**9, 0.05), 0.0734, abs_tol=1e-3)  # as the normal distribution has it
+
+
 def test_cutoffs(spark):
-    for k, n, p in ((0, 50, 0.02), (3, 200, 0.05), (10, 40, 0.3)):
-        assert math.isclose(quality_rules.binomial_at_most(k, n, p), sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), rel_tol=1e-9)
-    good, bad = np.zeros(1001, int), np.zeros(1001, int)
-    good[0], good[100], bad[500], bad[0] = 2000, 40, 50, 10
-    assert quality_rules.choose_cutoff(good, bad, 0.01, 0.01, 10.0) == 500
-    assert quality_rules.choose_cutoff(good * 0 + (np.arange(1001) == 0) * 20, bad, 0.01, 0.01, 10.0) is None  # too few holdouts
-    rng, wrong = np.random.default_rng(1), 0
-    for _ in range(200):  # the loss that a cutoff admits is rarely above the risk
-        g = np.bincount(np.minimum(1000, rng.exponential(60, 1500).astype(int)), minlength=1001)
-        cut = quality_rules.choose_cutoff(g, bad, 0.02, 0.05, 0.0)
-        wrong += cut is not None and math.exp(-cut / 60) > 0.02
+    """The chosen level against all levels tried with the plain sum, and the guarantee by simulation."""
+    param, levels = quality_rules.Risk(), len(quality_rules.LEVELS)
+    rng = np.random.default_rng(1)
+    for n in (20, 100, 400, 3000):
+        good = [np.bincount(np.minimum(levels, rng.exponential(6 + 9 * s, n).astype(int)), minlength=levels + 1) for s in range(3)]
+        bad = [np.bincount(rng.integers(0, levels + 1, 60), minlength=levels + 1) for _ in range(3)]
+        first = [exact_at_most(int(g[-1]), n, param.risk) for g in good]
+        order, want = sorted(range(3), key=lambda s: (first[s], s)), [None] * 3
+        for k, s in enumerate(order):
+            allowed = param.error / (3 - k)
+            if first[s] > allowed:
+                break
+            gains = []
+            for level in range(levels, 0, -1):
+                lost = int(good[s][level:].sum())
+                if exact_at_most(lost, n, param.risk) > allowed:
+                    break
+                gains.append((bad[s][level:].sum() / bad[s].sum() - param.price * lost / n, level))
+            best = max(gains, key=lambda x: (round(x[0], 9), x[1]))
+            want[s] = best[1] if best[0] > 1e-9 else None
+        assert quality_rules.choose_cutoffs(good, bad, param) == want
+        assert n > 20 or want == [None] * 3  # too few holdouts
+    wrong = 0
+    for _ in range(200):  # a stratum that loses more than the risk is rare
+        good = [np.bincount(np.minimum(levels, rng.exponential(20, 800).astype(int)), minlength=levels + 1) for _ in range(3)]
+        wrong += any(c is not None and math.exp(-c / 20) > param.risk for c in quality_rules.choose_cutoffs(good, bad, quality_rules.Risk(price=0.0)))
     assert wrong <= 20
-    labels = spark.createDataFrame([], "doc_id long, good boolean")
-    figured = quality_rules.with_figures(docs(spark, ODD))
-    assert quality_rules.fit_cutoffs(figured, labels) == {} and figured.count() == len(ODD) and quality_rules.with_figures(empty(spark)).count() == 0
+
+
+def test_cutoffs_of_documents(spark):
+    rng = random.Random(3)
+    good = [" ".join(rng.choice("abcdefghijklmnop") * rng.randrange(2, 6) for _ in range(60)) for _ in range(300)]
+    bad = [t.replace(" ", "### ") for t in good[:40]]
+    d = docs(spark, [*good, *bad, bad[0], None, ""], extra=True)
+    labels = spark.createDataFrame([(i, True) for i in range(300)] + [(i, False) for i in range(300, 341)] + [(300, False)] * 50 + [(None, True)], "doc_id long, good boolean")
+    figured = quality_rules.with_figures(d)
+    cutoffs = quality_rules.fit_cutoffs(figured.where(~quality_rules.base_failed()), labels)
+    kept = {r.doc_id: r.kept for r in figured.select("doc_id", (~quality_rules.base_failed() & quality_rules.verdict(cutoffs)).alias("kept")).collect()}
+    assert all(kept[i] for i in range(300)) and not any(kept[i] for i in range(300, 343))
+    # the same text under many ids is one trial
+    same = spark.createDataFrame([(i, good[0]) for i in range(300)], "doc_id long, text string")
+    assert quality_rules.fit_cutoffs(quality_rules.with_figures(same), labels) == {}
+    none = spark.createDataFrame([], "doc_id long, good boolean")
+    assert quality_rules.fit_cutoffs(figured, none) == {} and quality_rules.with_figures(empty(spark)).count() == 0
+    assert quality_rules.fit_cutoffs(quality_rules.with_figures(empty(spark)), labels) == {}
 
 
 # classifiers
@@ -280,6 +411,17 @@ def test_toxicity(spark):
     assert toxicity.train(d, labels.where("toxic = 0")).score(b"vile") < 1e-9 and toxicity.train(empty(spark), labels).score(b"") < 1e-9
 
 
+def test_toxicity_edges(spark):
+    d, labels = labelled(spark)
+    d, labels = d.unionByName(d.limit(30)), labels.unionByName(labels.limit(50)).unionByName(spark.createDataFrame([(None, 1, 1), (3, None, None)], labels.schema))
+    models = [toxicity.train(d.withColumns({n: F.lit(1) for n in CLASHING}).repartition(k), labels.where("doc_id < 300 or doc_id is null")) for k in (1, 5)]
+    assert models[0].weights == models[1].weights and models[0].bias == models[1].bias and len(models[0].weights) > 0
+    assert toxicity.score_documents(empty(spark), models[0]).count() == 0
+    counts, n = toxicity.document_counts(d, frozenset([b"vile", b"river", b"none"]))
+    texts = [r.text for r in d.collect()]
+    assert n == len(texts) and counts == {b"vile": sum("vile" in t.lower() for t in texts), b"river": sum("river" in t.lower() for t in texts)}
+
+
 def test_nnpu_prior():
     rng = np.random.default_rng(0)
     xp = (rng.random((300, 4)) < [0.9, 0.1, 0.5, 0.5]).astype(np.float32)
@@ -312,49 +454,54 @@ def test_word_sums(spark):
 
 
 # language
-def brute_bits(text, train, symbols, order, classes, last):
-    """PPM with escapes by dictionaries."""
-    seen = [defaultdict(Counter) for _ in range(order + 1)]
-    pad = [int(classes[32])] * order
+def brute_bits(text, train):
+    """PPM with escapes by dictionaries, a byte at a time."""
+    order, seen = language_id.ORDER, [defaultdict(Counter) for _ in range(language_id.ORDER + 1)]
     for t in train:
-        x = pad + [int(classes[b]) for b in t]
+        x = b" " * order + t
         for i in range(order, len(x)):
             for k in range(order + 1):
-                seen[k][tuple(x[i - k : i])][x[i]] += 1
-    x, total = pad + [int(classes[b]) for b in text], 0.0
+                seen[k][x[i - k : i]][x[i]] += 1
+    x, total = b" " * order + text, 0.0
     for i in range(order, len(x)):
-        total += last if x[i] == symbols - 1 else 0
         for k in range(order, -1, -1):
-            c = seen[k].get(tuple(x[i - k : i]))
-            if c and x[i] in c:
+            c = seen[k].get(x[i - k : i])
+            if not c or k and sum(c.values()) < language_id.LEAST:
+                continue
+            if x[i] in c:
                 total += math.log2((sum(c.values()) + len(c)) / c[x[i]])
                 break
-            if c:
-                total += math.log2((sum(c.values()) + len(c)) / len(c))
+            total += math.log2((sum(c.values()) + len(c)) / len(c))
         else:
-            total += math.log2(symbols)
+            total += 8
     return total
 
 
-def test_code_lengths():
+def test_code_lengths(monkeypatch):
+    monkeypatch.setattr(language_id, "CHUNK", 7)
     rng = random.Random(12)
-    train = ["".join(rng.choice("aabcd é") for _ in range(80)).encode() for _ in range(5)]
-    classes, last = language_id.symbol_classes(np.bincount(np.frombuffer(b"".join(train), np.uint8), minlength=256), 8)
-    counts = np.bincount(np.concatenate([language_id.codes_of(t, classes, 8, 2) for t in train]), minlength=512)
-    table = language_id.code_lengths(counts, 8, 2, last)
-    for text in (b"abcd", "zé a\n".encode(), b"ddddddaXY"):
-        assert math.isclose(table[language_id.codes_of(text, classes, 8, 2)].sum(), brute_bits(text, train, 8, 2, classes, last), rel_tol=1e-9)
+    trains = [["".join(rng.choice(letters) for _ in range(80)).encode() for _ in range(5)] for letters in ("aabcd é", "abxyz ", "é日 ")]
+    counts = [np.unique(np.concatenate([language_id.codes_of(t) for t in train]), return_counts=True) for train in trains]
+    model = language_id.Model(["a", "b", "c"], language_id.grow(counts))
+    texts = [b"abcd", "zé a\n".encode(), b"ddddddaXY", b"", "日 é".encode() * 9, trains[1][0]]
+    want = np.array([[brute_bits(t, train) for train in trains] for t in texts])
+    assert np.allclose(model.bits(texts), want, rtol=1e-5)
 
 
 def test_language(spark):
     rng = random.Random(11)
     say = {"en": ["the", "house", "and", "with"], "de": ["der", "haus", "und", "mit"], "fr": ["la", "maison", "et", "avec"]}
     rows = [(i, " ".join(rng.choice(say[lang]) for _ in range(12)), lang) for i, lang in enumerate(rng.choice(list(say)) for _ in range(300))]
-    d = spark.createDataFrame([*rows, (900, "the the", None)], "doc_id long, text string, lang string")
+    d = spark.createDataFrame([*rows, (900, "the the", None)], "doc_id long, text string, lang string").withColumns({n: F.lit(1) for n in CLASHING})
     model = language_id.train(d.where("doc_id < 200"))
     found = {r.doc_id: r.lang_pred for r in language_id.identify(d, model).collect()}
     assert all(found[i] == lang for i, _, lang in rows) and found[900] == "en"
     odd = {r.doc_id: r for r in language_id.identify(docs(spark, [*ODD, "12 3!"], extra=True), model).collect()}
     assert all((r.lang_pred == "und") == (not any(map(str.isalpha, ([*ODD, "12 3!"])[i] or ""))) and 0 <= r.score <= 1 for i, r in odd.items())
+    twice = [(r.lang_pred, r.score) for r in language_id.identify(spark.createDataFrame([(1, "la maison"), (1, "la maison")], "doc_id long, text string"), model).collect()]
+    assert twice[0] == twice[1] and language_id.identify(empty(spark), model).count() == 0
     none = language_id.train(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert {r.lang_pred for r in language_id.identify(d, none).collect()} == {"und"}
+    many = spark.createDataFrame([(i, f"{chr(97 + i % 26) * 3} word{i % 26} ", f"l{i % 26:02}") for i in range(520)], "doc_id long, text string, lang string")
+    model = language_id.train(many)
+    assert len(model.languages) == 26 and all(r.lang_pred == f"l{r.doc_id % 26:02}" for r in language_id.identify(many, model).collect())
