@@ -1,14 +1,16 @@
 """A corpus from documents to token ids, in five stages, each written as Parquet and read again by the next.
 
-Stages run one after the other in a session: each deletes the intermediate tables of those before it.
-
 1. toxicity: documents that the classifier of op3 rejects go
 2. line_dedup: lines that repeat across documents go (op6)
 3. jaccard_join: of documents linked by shared shingles, one stays: the one with the smallest id (op8)
 4. mixing: each document as often as the mix of sources takes it (op2)
 5. byte_bpe: token ids of every text, checked by decoding them (op7)
 
-Ids are taken to be unique in ``documents``; if one repeats, rows of an id that stays all stay.
+Every stage returns the columns of ``documents``, whatever they are, but the last, which has token ids in place of the
+text. Defined results: null and empty texts pass all stages (they are neither toxic, nor linked; they have no words, so the
+mix takes them as often as their hash says) and have no tokens; very long texts are processed whole; rows that repeat an
+id are scored and cut each by its own text, and stay or go together in 3 and 4; documents that tie are told apart by id; a
+null id is an id of its own, and its rows stay in 3; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basemill.llm import bpe, jaccard_join, line_dedup, mixing, op3, op7, toxicity
-from basemill.llm.common import held_out, read_table, release, shared_dir
+from basemill.llm.common import Scratch, held_out, near, read_table, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,26 +33,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)  # the stage before is written; its own tables are not needed any more
     done = line_dedup.dedup_lines(docs)
     changed = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
     return done.withColumn("n_chars", changed).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)  # the stage before is written; its own tables are not needed any more
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    with Scratch(spark) as own:  # the few ids that go are joined, not all that stay
+        gone = own.keep(found.groupBy(F.col("doc_id").alias("gone")).agg(stays.alias("stays")).where("not stays").select("gone"), "pipeline-gone")
+    return docs.join(near(gone), F.col("doc_id") == F.col("gone"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)  # the stage before is written; its own tables are not needed any more
     return mixing.mixed(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    release(spark)  # the stage before is written; its own tables are not needed any more
     return bpe.encode_documents(docs, public_tokenizers.path(op7.VOCABULARY), public_tokenizers.PATTERN)
 
 
