@@ -45,8 +45,8 @@ LIMIT, LIMIT_SHINGLES = 512, 2_000_000
 PIVOTS = 16
 #: Farther than this from all pivots, a point is in the cell of the far ones (number PIVOTS).
 FAR = 0.75
-#: Points that are compared pair by pair; and the part of a region that a cell must be below to count as thinned out.
-LEAF, THINNED = 8, 0.9
+#: Points that are compared pair by pair; and the part of a region's pairs that its cells may have to count as thinned out.
+LEAF, THINNED = 8, 0.5
 #: Sets that share a 64-bit name and get another one, at most (chance has some hundred among 1e11).
 RENAMED = 1_000_000
 #: Points at one shingle that are paired; more are tied to one of them.
@@ -362,7 +362,7 @@ class PivotJoin:
                 break
         d = np.stack(apart)
         home = np.where(nearest > FAR, len(d), d.argmin(axis=0))
-        left = []
+        cells = []
         for p in range(len(d) + 1):
             inside = home == p
             if not inside.any():
@@ -370,13 +370,15 @@ class PivotJoin:
             visits = (home > p) & (d[p] <= nearest[inside].max() + 0.25 + EPS) if p < len(d) else np.zeros(len(rows), bool)
             cell = np.flatnonzero(inside | visits)
             self.visits += int(visits.sum())
-            if (self.roots(rows[cell]) == self.roots(rows[cell[:1]])).all():
-                continue
-            if len(cell) <= LEAF or len(cell) > THINNED * len(rows):
-                self.pairs(rows[cell], d[:, cell])
-            else:
-                left.append(rows[cell])
-        return left
+            if (self.roots(rows[cell]) != self.roots(rows[cell[:1]])).any():
+                cells.append(cell)
+        if sum(len(c) ** 2 for c in cells) > THINNED * len(rows) ** 2:  # joining the cells would be no less work
+            self.pairs(rows, d)
+            return []
+        for c in cells:
+            if len(c) <= LEAF:
+                self.pairs(rows[c], d[:, c])
+        return [rows[c] for c in cells if len(c) > LEAF]
 
     def pairs(self, rows: np.ndarray, d: np.ndarray) -> None:
         """Compares the pairs that the distances to the pivots and the sizes leave."""
@@ -420,7 +422,7 @@ def _links(pairs: Iterable[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def region_sizes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.octet_length("points") / 8).cast("long").alias("total"), F.max("parent").alias("parent"))
+    return rows.groupBy("region").agg(F.count("*").alias("members"), F.sum(F.octet_length("points") / 8).cast("long").alias("total"))
 
 
 def _parts(times: int) -> Column:
@@ -435,7 +437,7 @@ def blocks_joined(rows: DataFrame, sizes: DataFrame, own: Scratch) -> DataFrame:
     return join_groups(met.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("group"), "fp", "points"))
 
 
-_MEASURED = "region long, fp long, members long, home int, near double, apart array<double>, balls int, hubs array<long>"
+_MEASURED = "region long, fp long, home int, near double, apart array<double>, balls int, hubs array<long>"
 
 
 def _measure(points: pa.Table, pivots: pa.Table) -> pa.Table:
@@ -455,7 +457,7 @@ def _measure(points: pa.Table, pivots: pa.Table) -> pa.Table:
         best = int(np.argmin(d))
         home.append(best if d[best] <= FAR else PIVOTS), nearest.append(min(d)), apart.append(d), balls.append(ball), hubs.append(hub)
     kinds = (("home", home, pa.int32()), ("near", nearest, pa.float64()), ("apart", apart, pa.list_(pa.float64())), ("balls", balls, pa.int32()), ("hubs", hubs, pa.list_(pa.int64())))
-    return pa.table({**{c: points.column(c) for c in ("region", "fp", "members")}, **{n: pa.array(v, k) for n, v, k in kinds}})
+    return pa.table({**{c: points.column(c) for c in ("region", "fp")}, **{n: pa.array(v, k) for n, v, k in kinds}})
 
 
 def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,12 +484,13 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 p = c["home"]
                 if p == home or p < home and apart[p] <= c["radius"] + 0.25 + EPS and not (label is not None and label == c["whole"]):
                     at.append(i), cell.append(p), visits.append(p != home)
-        took = part.select(["region", "fp", "members"]).take(pa.array(at, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell, pa.int32()), pa.array(visits, pa.bool_())], ["region", "fp", "members", "cell", "visits"])
+        took = part.select(["region", "fp"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*took.columns, pa.array(cell, pa.int32()), pa.array(visits, pa.bool_())], ["region", "fp", "cell", "visits"])
 
 
-def split_regions(rows: DataFrame, sizes: DataFrame, depth: int, own: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Splits each region of ``rows`` (region, fp, points) by pivots: (links found, rows of the new regions).
+def split_regions(rows: DataFrame, sizes: DataFrame, depth: int, own: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Splits each region of ``rows`` (region, fp, points) by pivots: (links found, rows of the new regions, the regions
+    that pivots don't thin out and whose cells are not among the new ones).
 
     A region's points are measured in parts of ``LIMIT``, each beside a copy of the region's pivots, so no task gets a
     whole region and no pivot reaches the driver; what is kept of a region as a whole is a row of its cells.
@@ -495,49 +498,51 @@ def split_regions(rows: DataFrame, sizes: DataFrame, depth: int, own: Scratch) -
     table = own.table(sizes.select("region", "members", _parts(1).alias("parts")), "jaccard-parts")
     drawn = rows.groupBy("region", F.pmod(F.xxhash64("fp", F.lit(depth)), F.lit(PIVOTS)).cast("int").alias("p")).agg(F.min("fp").alias("fp"))
     pivots = own.table(rows.join(own.table(drawn, "jaccard-drawn"), ["region", "fp"]).dropDuplicates(["region", "p"]).select("region", "p", "fp", "points"), "jaccard-pivots")
-    dealt_points = rows.join(near(table), "region").select("region", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int").alias("part"), "fp", "members", "points")
+    dealt_points = rows.join(near(table), "region").select("region", F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts")).cast("int").alias("part"), "fp", "points")
     dealt_pivots = pivots.join(near(table), "region").select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "p", "fp", "points")
     measured = own.table(dealt_points.groupBy("region", "part").cogroup(dealt_pivots.groupBy("region", "part")).applyInArrow(_measure, _MEASURED), "jaccard-measured")
     links = own.table(measured.where("balls <> 0").select(F.col("fp").alias("a"), F.explode("hubs").alias("b")).where("a <> b").distinct(), "jaccard-links")
 
     labels = own.table(measured.where("balls <> 0").groupBy("region").agg(F.collect_set("balls").alias("masks")).mapInArrow(_labels, "region long, labels array<int>"), "jaccard-labels")
     lowest = F.array_min(F.filter(F.sequence(F.lit(0), F.lit(PIVOTS - 1)), lambda p: F.col("balls").bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(PIVOTS)]), p + 1)) != 0))
-    points = measured.join(near(labels, 50_000), "region", "left").withColumn("label", F.when(F.col("balls") != 0, F.element_at("labels", lowest + 1))).select("region", "fp", "members", "home", "near", "apart", "label")
+    points = measured.join(near(labels, 50_000), "region", "left").withColumn("label", F.when(F.col("balls") != 0, F.element_at("labels", lowest + 1))).select("region", "fp", "home", "near", "apart", "label")
     # of each cell: radius, and the label that all its points have, if they have one
     one = F.when((F.count("*") == F.count("label")) & (F.min("label") == F.max("label")), F.min("label"))
     cells = points.groupBy("region", "home").agg(F.max("near").alias("radius"), one.alias("whole"))
     cells = own.table(cells.groupBy("region").agg(F.collect_list(F.struct("home", "radius", "whole")).alias("cells")), "jaccard-of-regions")
-    dealt = own.table(points.join(near(cells, 50_000), "region").mapInArrow(_deal, "region long, fp long, members long, cell int, visits boolean"), "jaccard-dealt")
+    dealt = own.table(points.join(near(cells, 50_000), "region").mapInArrow(_deal, "region long, fp long, cell int, visits boolean"), "jaccard-dealt")
     # a cell that hangs together needs a task only if it has visitors
     whole = cells.select("region", F.explode("cells").alias("c")).select("region", F.col("c.home").alias("cell"), F.col("c.whole").isNotNull().alias("whole"))
     visited = dealt.groupBy("region", "cell").agg(F.max("visits").alias("visited"), F.count("*").alias("n"))
-    open_cells = own.table(visited.join(whole, ["region", "cell"]).where("(visited or not whole) and n > 1").select("region", "cell"), "jaccard-open")
-    moves = own.table(dealt.join(near(open_cells), ["region", "cell"]).select("region", "fp", "cell", "members"), "jaccard-moves")
-    new = rows.drop("parent").join(near(moves), ["region", "fp"]).select(F.xxhash64("region", "cell", F.lit(depth)).alias("region"), "fp", "points", F.col("members").alias("parent"))
-    return links, own.table(new, "jaccard-regions")
+    open_cells = own.table(visited.join(whole, ["region", "cell"]).where("(visited or not whole) and n > 1").select("region", "cell", "n"), "jaccard-open")
+    work = open_cells.groupBy("region").agg(F.sum(F.col("n").cast("double") ** 2).alias("work")).join(table, "region")
+    stuck = own.table(work.where(F.col("work") > THINNED * F.col("members").cast("double") ** 2).select("region"), "jaccard-stuck")
+    thinned = own.table(open_cells.join(near(stuck), "region", "left_anti").select("region", "cell"), "jaccard-thinned")
+    moves = own.table(dealt.join(near(thinned), ["region", "cell"]).select("region", "fp", "cell"), "jaccard-moves")
+    new = rows.join(near(moves), ["region", "fp"]).select(F.xxhash64("region", "cell", F.lit(depth)).alias("region"), "fp", "points")
+    return links, own.table(new, "jaccard-regions"), stuck
 
 
 def region_links(rows: DataFrame, own: Scratch) -> DataFrame:
     """Links (a, b) that connect the points of each region of ``rows`` (region, fp, points) as all links do.
 
-    Regions that fit are joined in a task each; others are split until they do. The cells of a region that didn't thin
-    out by a tenth are joined in blocks, so the rounds end: in each one all that goes on is a tenth smaller.
+    Regions that fit are joined in a task each; others are split until they do. A region whose cells have together more
+    than ``THINNED`` of its pairs is joined in blocks, so the rounds end: each has half the pairs of the one before.
     """
-    found, rows, depth = [], rows.withColumn("parent", F.lit(None).cast("long")), 0
+    found, depth = [], 0
     while True:
         sizes = own.table(region_sizes(rows), "jaccard-sizes")
         fits = (F.col("members") <= LIMIT) & (F.col("total") <= LIMIT_SHINGLES)
-        stuck = ~fits & F.coalesce(F.col("members") > THINNED * F.col("parent"), F.lit(False))
-        pick = lambda test, sizes=sizes, rows=rows: rows.join(near(own.table(sizes.where(test).select("region"), "jaccard-picked")), "region")
-        found.append(own.table(join_groups(pick(fits & (F.col("members") > 1)).withColumnRenamed("region", "group")), "jaccard-links"))
-        if not sizes.where(stuck).isEmpty():
-            found.append(own.table(blocks_joined(pick(stuck), sizes.where(stuck), own), "jaccard-links"))
-        large = sizes.where(~fits & ~stuck)
+        pick = lambda regions, rows=rows: rows.join(near(own.table(regions.select("region"), "jaccard-picked")), "region")
+        found.append(own.table(join_groups(pick(sizes.where(fits & (F.col("members") > 1))).withColumnRenamed("region", "group")), "jaccard-links"))
+        large = sizes.where(~fits)
         if large.isEmpty():
             break
-        links, rows = split_regions(own.table(pick(~fits & ~stuck), "jaccard-large"), large, depth, own)
+        links, new, stuck = split_regions(own.table(pick(large), "jaccard-large"), large, depth, own)
         found.append(links)
-        depth += 1
+        if not stuck.isEmpty():
+            found.append(own.table(blocks_joined(rows, sizes.join(near(stuck), "region"), own), "jaccard-links"))
+        rows, depth = new, depth + 1
     links = found[0]
     for x in found[1:]:
         links = links.union(x)
