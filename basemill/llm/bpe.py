@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import bounded, slices
 
 #: Pieces remembered with their ids, at most; beyond that all are forgotten.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Rows and bytes of text of a batch, rows of a word table, tokens decoded at once.
-ROWS, BYTES, WORD_ROWS, TOKENS = 384, 2_000_000, 1_000_000, 500_000
+ROWS, BYTES, WORD_ROWS, TOKENS = 384, 2_000_000, 4_000_000, 400_000
 #: Bytes by which segments of a long match follow each other, and bytes by which each reaches into the next.
 SEGMENT, OVERLAP = 64, 48
 #: White space as Unicode has it; the pattern's \s is read so.
@@ -52,10 +52,10 @@ WITH RECURSIVE step(w, round, pos, tok) AS (
   UNION ALL
   (WITH best AS (
      SELECT a.w, min(m.rank * 4294967296 + a.pos) AS k
-     FROM step a JOIN step b ON a.w = b.w AND b.pos = a.pos + 1 JOIN merges m ON m.pair = a.tok * 4294967296 + b.tok GROUP BY a.w)
-   SELECT w, round + 1, CASE WHEN pos > k % 4294967296 THEN pos - 1 ELSE pos END, CASE WHEN pos = k % 4294967296 THEN k // 4294967296 ELSE tok END
+     FROM step a JOIN step b ON a.w = b.w AND b.pos = a.pos + 1 JOIN merges m ON m.pair = a.tok::BIGINT * 4294967296 + b.tok GROUP BY a.w)
+   SELECT w, round + 1, CASE WHEN pos > k % 4294967296 THEN pos - 1 ELSE pos END, CASE WHEN pos = k % 4294967296 THEN (k // 4294967296)::INTEGER ELSE tok END
    FROM step JOIN best USING (w) WHERE pos <> k % 4294967296 + 1))
-SELECT w, list(tok ORDER BY pos) AS ids FROM (SELECT w, max(round) AS round FROM step GROUP BY w) JOIN step USING (w, round) GROUP BY w
+SELECT w, array_to_string(list(tok ORDER BY pos), ' ') AS ids FROM (SELECT w, max(round) AS round FROM step GROUP BY w) JOIN step USING (w, round) GROUP BY w
 """
 #: From incoming(t, ids): rows (text, position, id) join the vocabulary and are aggregated in order.
 EXPAND = """
@@ -78,6 +78,10 @@ def _at_blanks(text: str) -> list[str]:
     return made if made[0] else made[1:]
 
 
+def ints(ids: str) -> list[int]:
+    return [int(x) for x in ids.split()]
+
+
 class Codec:
     """Encoder and decoder of one vocabulary in one process."""
 
@@ -90,8 +94,8 @@ class Codec:
         self.ranks = ranks
         self.pattern = regex.compile(pattern.replace(r"\S", f"[^{UNICODE_SPACE}]").replace(r"[^\s", f"[^{UNICODE_SPACE}").replace(r"\s", f"[{UNICODE_SPACE}]"))
         self.token = {rank: token for token, rank in ranks.items()}
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "600MB", "temp_directory": ""})
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self.db.execute("SET preserve_insertion_order = false")
         pairs, merged = [], []
         for token, rank in ranks.items():
@@ -112,19 +116,19 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM incoming")
         self.db.unregister("incoming")
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of distinct words, by the recursive query alone."""
-        found: list[list[int]] = []
+    def contract(self, words: list[bytes]) -> list[str]:
+        """The decimal ids of distinct words, by the recursive query alone."""
+        found: list[str] = []
         lengths = np.array([len(w) for w in words], np.int64)
         # the rows of a word over all rounds are less than the square of its length
-        group = np.cumsum(np.minimum(lengths * lengths, WORD_ROWS * 8) + 1) // (WORD_ROWS * 8)
+        group = np.cumsum(np.minimum(lengths * lengths, WORD_ROWS) + 1) // (WORD_ROWS)
         for some in np.split(np.arange(len(words)), np.flatnonzero(np.diff(group)) + 1):
             n = lengths[some]
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             tok = self.single[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
-            self._table("pending", w=pa.array(np.repeat(np.arange(len(some)), n)), pos=pa.array(place), tok=pa.array(tok))
+            self._table("pending", w=pa.array(np.repeat(np.arange(len(some)), n).astype(np.int32)), pos=pa.array(place.astype(np.int32)), tok=pa.array(tok))
             rows = self.db.sql(CONTRACT).to_arrow_table()
-            made: list[list[int]] = [[]] * len(some)
+            made = [""] * len(some)
             for w, ids in zip(rows.column("w").to_pylist(), rows.column("ids").to_pylist(), strict=True):
                 made[w] = ids
             found += made
@@ -134,7 +138,7 @@ class Codec:
         """Encodes the segments and joints that aren't known yet."""
         new = sorted(parts - self.parts.keys())
         if new:
-            self.parts.update(zip(new, self.contract(new), strict=True))
+            self.parts.update(zip(new, map(ints, self.contract(new)), strict=True))
 
     def encode_words(self, words: list[bytes]) -> list[str]:
         """The decimal ids of words, each encoded by itself."""
@@ -144,7 +148,7 @@ class Codec:
         short = [i for i in pending if len(words[i]) <= SEGMENT + OVERLAP]
         if short:
             for i, ids in zip(short, self.contract([words[i] for i in short]), strict=True):
-                found[i] = " ".join(map(str, ids))
+                found[i] = ids
         long = [i for i in pending if len(words[i]) > SEGMENT + OVERLAP]
         if long:
             if len(self.parts) > REMEMBERED:
@@ -206,7 +210,7 @@ class Codec:
                     break
             if joined is None:  # grow
                 stop = min(len(word), begin + 2 * (stop - begin))
-                ids = self.contract([word[begin:stop]])[0]
+                ids = ints(self.contract([word[begin:stop]])[0])
                 continue
             i, begin, stop, rest = joined
             done += ids[: i + 1]

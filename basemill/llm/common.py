@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
+import sys
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -20,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
-__all__ = ["ASCII_SPACE", "WORD", "Scratch", "beta_share", "binomial_at_least", "binomial_at_most", "bounded", "fresh", "held_out", "near", "read_table", "shared_dir", "slices", "utf8"]
+__all__ = ["ASCII_SPACE", "WORD", "Scratch", "beta_share", "binomial_at_least", "binomial_at_most", "bounded", "fresh", "give_back", "held_out", "near", "read_table", "shared_dir", "slices", "utf8"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -111,11 +114,21 @@ def binomial_at_least(k: int, n: int, p: float) -> float:
     return 1.0 if k <= 0 else beta_share(p, k, n - k + 1)
 
 
+def give_back() -> None:
+    """Gives freed memory back to the system: workers are used again by other operators, beside each other."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Arrow batches in pieces of few rows, so that only some texts are Python objects at a time."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def bounded(batches: Iterable[pa.RecordBatch], rows: int, most_bytes: int, column: str = "text") -> Iterator[pa.RecordBatch]:

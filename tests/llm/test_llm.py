@@ -250,7 +250,7 @@ def test_bpe_vocabulary():
     """Every token encodes to itself, as the joints of long matches need it."""
     codec = bpe.Codec(PATH, PATTERN)
     tokens = [t for t in codec.ranks if len(t) > 1]
-    assert [x for x, t in zip(codec.contract(tokens), tokens, strict=True) if x != [codec.ranks[t]]] == []
+    assert [x for x, t in zip(codec.contract(tokens), tokens, strict=True) if x != str(codec.ranks[t])] == []
 
 
 def test_bpe_decode_parts(monkeypatch):
