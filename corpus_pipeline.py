@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basemill.llm import bpe, jaccard_join, line_dedup, mixing, op3, op7, toxicity
-from basemill.llm.common import Scratch, held_out, near, read_table, shared_dir
+from basemill.llm.common import Scratch, fresh, held_out, near, read_table, shared_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,10 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_components(docs.select("doc_id", "text"))
     stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    name = fresh("gone", docs.columns)
     with Scratch(spark) as own:  # the few ids that go are joined, not all that stay
-        gone = own.keep(found.groupBy(F.col("doc_id").alias("gone")).agg(stays.alias("stays")).where("not stays").select("gone"), "pipeline-gone")
-    return docs.join(near(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+        gone = own.keep(found.groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select(F.col("doc_id").alias(name)), "pipeline-gone")
+    return docs.join(near(gone), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
