@@ -23,7 +23,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -59,15 +61,18 @@ SELECT w, array_to_string(list(tok ORDER BY pos), ' ') AS ids FROM (SELECT w, ma
 """
 #: From incoming(t, ids): rows (text, position, id) join the vocabulary and are aggregated in order.
 EXPAND = """
-WITH rows AS (SELECT t, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM incoming)
-SELECT t, count(*) = count(shown) AS known, from_hex(string_agg(shown, '' ORDER BY pos)) AS shown
-FROM rows LEFT JOIN vocabulary USING (id) GROUP BY t
+WITH rows AS (SELECT t, unnest(ids) AS id, generate_subscripts(ids, 1)::INTEGER AS pos FROM incoming)
+SELECT t, count(*) AS n, from_hex(string_agg(shown, '' ORDER BY pos)) AS shown FROM rows JOIN vocabulary USING (id) GROUP BY t
 """
 
 
+#: Texts whose blanks don't all come before a character that isn't white space.
+ODD = re.compile(f" (?:[{UNICODE_SPACE}]|$)|^ |^$")
+
+
 def _at_blanks(text: str) -> list[str]:
     found = text.split(" ")
-    if "" not in found and not any(x[0] in UNICODE_SPACE for x in found):
+    if ODD.search(text) is None:
         return [found[0], *[" " + x for x in found[1:]]]
     made = [found[0]]
     for x in found[1:]:
@@ -243,13 +248,13 @@ class Codec:
             self.known.clear()
             self.words.clear()
         known, words, cut = self.known, self.words, [self.pieces(x) for x in texts]
-        new = list({p for ps in cut for p in ps if p not in known})
+        new = list(set().union(*cut).difference(known))
         matches = [self.pattern.findall(p) for p in new]
-        unseen = list({m for ms in matches for m in ms if m not in words})
+        unseen = list(set(chain.from_iterable(matches)).difference(words))
         words.update(zip(unseen, self.encode_words([w.encode() for w in unseen]), strict=True))
         for piece, ms in zip(new, matches, strict=True):
-            known[piece] = " ".join([words[m] for m in ms])
-        return [[known[p] for p in ps if p] for ps in cut]
+            known[piece] = words[ms[0]] if len(ms) == 1 else " ".join([words[m] for m in ms])
+        return [list(map(known.__getitem__, ps)) for ps in cut]
 
     def forget(self) -> None:
         """Gives back the memory of what is remembered."""
@@ -269,7 +274,7 @@ class Codec:
                 self.db.register("incoming", pa.table({"t": pa.array(range(first, last), pa.int32()), "ids": part}))
                 found = self.db.sql(EXPAND).to_arrow_table()
                 self.db.unregister("incoming")
-                if len(found) and not pc.all(found.column("known")).as_py():
+                if sum(found.column("n").to_pylist()) != len(pc.list_flatten(part)):
                     raise ValueError("an id is not in the vocabulary")
                 for t, shown in zip(found.column("t").to_pylist(), found.column("shown").to_pylist(), strict=True):
                     made[t] += shown
