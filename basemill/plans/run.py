@@ -127,6 +127,20 @@ def report_html(sample: str, evaluated: dict, before_after: list | None = None)
     return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(sample)}</title></head><body><h1>{html.escape(sample)}: {evaluated['summary']['overall']}</h1><table><tr><th>read</th><th>metric</th><th>status</th><th>reasons</th></tr>{rows}</table>{table}</body></html>"
 
 
+def publish(staging: str, out: str) -> None:
+    """Puts a finished folder in its place; if that fails what was published before is there again."""
+    old = f"{staging}.old"
+    if os.path.exists(out):
+        os.rename(out, old)
+    try:
+        os.rename(staging, out)
+    except BaseException:
+        if os.path.exists(old):
+            os.rename(old, out)
+        raise
+    shutil.rmtree(old, ignore_errors=True)
+
+
 def process_sample(spark: SparkSession, sample: str, r1: str, r2: str | None, out: str, config: T.TrimConfig | None = None, ruleset: str | None = None) -> dict:
     """One sample into the folder ``out``, which appears whole or not at all."""
     rules, digest = tables.read_ruleset(ruleset) if ruleset else (R.Ruleset("standard", "1", R.STANDARD), hashlib.sha256(repr(R.STANDARD).encode()).hexdigest())
@@ -175,10 +189,7 @@ def process_sample(spark: SparkSession, sample: str, r1: str, r2: str | None, ou
         manifest = {"schema_version": 1, "run_id": run_id, "sample_id": sample, "reads": sorted(scanned), "inputs": {k: v for k, v in sources.items() if v and k in scanned}, "trimming": asdict(config) if config else None, "artifacts": artifacts}
         write_atomically(f"{staging}/run_manifest.json", json.dumps(manifest, indent=2) + "\n")
         spark.catalog.clearCache()
-        if os.path.exists(out):
-            os.rename(out, f"{staging}.old")
-        os.rename(staging, out)
-        shutil.rmtree(f"{staging}.old", ignore_errors=True)
+        publish(staging, out)
         return {"sample_id": sample, "qc_status": "passed", "overall": evaluated["summary"]["overall"], "run_id": run_id}
     except BaseException:
         shutil.rmtree(staging, ignore_errors=True)
