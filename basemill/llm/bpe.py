@@ -22,6 +22,7 @@ id outside the vocabulary is an error; an empty table gives an empty table; othe
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -46,18 +47,20 @@ SEGMENT, OVERLAP = 64, 48
 #: White space as Unicode has it; the pattern's \s is read so.
 UNICODE_SPACE = "\t\n\x0b\x0c\r \x85\xa0                　"
 
-#: From pending(w, pos, tok): in each round the words that have a pair left, contracted once, with positions closed up.
-#: A word's encoding are its rows of its last round.
+#: From pending(key, tok), key being the word's number and the position (its low 32 bits): in each round the words that have
+#: a pair left, contracted once, with positions closed up. A word's encoding are its rows of its last round.
 CONTRACT = """
-WITH RECURSIVE step(w, round, pos, tok) AS (
-  SELECT w, 0, pos, tok FROM pending
+WITH RECURSIVE step(key, round, tok) AS (
+  SELECT key, 0, tok FROM pending
   UNION ALL
   (WITH best AS (
-     SELECT a.w, min(m.rank * 4294967296 + a.pos) AS k
-     FROM step a JOIN step b ON a.w = b.w AND b.pos = a.pos + 1 JOIN merges m ON m.pair = a.tok::BIGINT * 4294967296 + b.tok GROUP BY a.w)
-   SELECT w, round + 1, CASE WHEN pos > k % 4294967296 THEN pos - 1 ELSE pos END, CASE WHEN pos = k % 4294967296 THEN (k // 4294967296)::INTEGER ELSE tok END
-   FROM step JOIN best USING (w) WHERE pos <> k % 4294967296 + 1))
-SELECT w, array_to_string(list(tok ORDER BY pos), ' ') AS ids FROM (SELECT w, max(round) AS round FROM step GROUP BY w) JOIN step USING (w, round) GROUP BY w
+     SELECT a.key >> 32 AS w, min(m.rank << 32 | (a.key & 4294967295)) AS k
+     FROM step a JOIN step b ON b.key = a.key + 1 JOIN merges m ON m.pair = (a.tok::BIGINT << 32 | b.tok) GROUP BY 1),
+   spot AS (SELECT w, (w << 32) + (k & 4294967295) AS place, (k >> 32)::INTEGER AS made FROM best)
+   SELECT CASE WHEN key > place THEN key - 1 ELSE key END, round + 1, CASE WHEN key = place THEN made ELSE tok END
+   FROM step JOIN spot ON key >> 32 = w WHERE key <> place + 1))
+SELECT w, array_to_string(list(tok ORDER BY key), ' ') AS ids
+FROM (SELECT key >> 32 AS w, max(round) AS round FROM step GROUP BY 1) JOIN (SELECT key >> 32 AS w, * FROM step) USING (w, round) GROUP BY w
 """
 #: From incoming(t, ids): rows (text, position, id) join the vocabulary and are aggregated in order.
 EXPAND = """
@@ -131,7 +134,7 @@ class Codec:
             n = lengths[some]
             place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             tok = self.single[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]
-            self._table("pending", w=pa.array(np.repeat(np.arange(len(some)), n).astype(np.int32)), pos=pa.array(place.astype(np.int32)), tok=pa.array(tok))
+            self._table("pending", key=pa.array((np.repeat(np.arange(len(some)), n) << 32) + place), tok=pa.array(tok))
             rows = self.db.sql(CONTRACT).to_arrow_table()
             made = [""] * len(some)
             for w, ids in zip(rows.column("w").to_pylist(), rows.column("ids").to_pylist(), strict=True):
@@ -249,7 +252,9 @@ class Codec:
             self.words.clear()
         known, words, cut = self.known, self.words, [self.pieces(x) for x in texts]
         new = list(set().union(*cut).difference(known))
+        gc.disable()  # hundreds of thousands of lists without a cycle follow
         matches = [self.pattern.findall(p) for p in new]
+        gc.enable()
         unseen = list(set(chain.from_iterable(matches)).difference(words))
         words.update(zip(unseen, self.encode_words([w.encode() for w in unseen]), strict=True))
         for piece, ms in zip(new, matches, strict=True):
