@@ -130,6 +130,26 @@ def test_jaccard_join_crowds_of_unlike_sizes(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts)
 
 
+def test_jaccard_regions_where_counters_are_full(spark, monkeypatch):
+    """Every counter holds a thousand other shingles, as on large inputs: shingles of many texts don't tie them all."""
+    rng, ranks, largest = random.Random(11), jaccard_join.ranks, []
+    others = np.random.default_rng(11).poisson(1000, jaccard_join.SKETCH)
+    monkeypatch.setattr(jaccard_join, "ranks", lambda counts: ranks(counts + others))
+
+    def regions(docs, names, found, *rest, f=jaccard_join.regions_with_sets):
+        largest.append(found.groupBy("component").count().agg(F.max("count")).first()[0])
+        return f(docs, names, found, *rest)
+
+    monkeypatch.setattr(jaccard_join, "regions_with_sets", regions)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    passages = [" ".join(word() for _ in range(6)) for _ in range(24)]
+    texts = [" ".join(y for x in rng.sample(passages, 5) for y in (x, *(word() for _ in range(12)))) for _ in range(400)]
+    texts += [f"{texts[0]} {word()}" for _ in range(4)]
+    found = jaccard_join.jaccard_components(docs(spark, texts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(texts)
+    assert largest == [5]
+
+
 def test_jaccard_join_edges(spark):
     assert jaccard_join.jaccard_components(empty(spark)).count() == 0
     d = spark.createDataFrame([(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (4, None)], "doc_id long, text string")
